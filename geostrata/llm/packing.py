@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from geostrata.llm.common import written
-from geostrata.llm.tokens import Encoder
+from geostrata.llm.tokens import encoder
 
 CAPACITY, END = 2048, 0
 SALTS = 64
@@ -27,14 +27,15 @@ SALTS = 64
 
 def _pieces(capacity: int, path: str | None) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(path), np.array([END], "<u4").tobytes()
+        own, end = encoder(path), np.array([END], "<u4").tobytes()
         for batch in batches:
-            ids, out = batch.column("doc_id").to_pylist(), []
-            for doc, text in zip(ids, batch.column("text").to_pylist(), strict=True):
-                raw = encoder.encode(text) + end
-                total = len(raw) // 4
-                first = (total - 1) % capacity + 1
-                cuts = [0, *range(first, total + 1, capacity)]
+            out, at = [], 0
+            flat, lens = own.batch(batch.column("text"))
+            for doc, n in zip(batch.column("doc_id").to_pylist(), lens.tolist(), strict=True):
+                raw = flat[at : at + n].tobytes() + end
+                at += n
+                first = n % capacity + 1  # n + 1 ids
+                cuts = [0, *range(first, n + 2, capacity)]
                 out += [(doc, k, a, b - a, zlib.crc32(raw[4 * a : 4 * b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
             if out:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
