@@ -85,7 +85,7 @@ class Encoder:
         sizes = pc.binary_length(names).to_numpy() + 1
         for k in range(0, len(names), 20_000):
             part = names.slice(k, 20_000)
-            text = " " + pc.binary_join(pa.LargeListArray.from_arrays(pa.array([0, len(part)], pa.int64()), part), " ")[0].as_py()
+            text = " " + pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part.cast(pa.string())), " ")[0].as_py()
             # Libraries may know other versions of Unicode; up to Latin Extended-B they agree.
             if self.fast is None or max(text) >= "\u0250":
                 each = [self.ids(" " + c) for c in part.to_pylist()]
