@@ -109,23 +109,38 @@ def _bands(scored: DataFrame, sigmas: float, min_docs: int) -> list[tuple[str, f
     return out
 
 
-def quality(docs: DataFrame, sigmas: float = 8.0, short: float = 4.0, min_docs: int = 100) -> DataFrame:
+def _models(rows: DataFrame) -> dict[str, ngram.Model]:
+    """A model for each language from the counts of all rows. Folded n-grams bound what comes here: 2**24 a language at most, some ten thousand in natural text."""
+    counts = rows.select("lang", "text").mapInArrow(_count, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
+    out = {}
+    for lang, own in counts.groupby("lang"):
+        own = own.sort_values("code")
+        out[lang] = ngram.Model(own["code"].to_numpy(), own["n"].to_numpy())
+    return out
+
+
+def quality(docs: DataFrame, sigmas: float = 8.0, short: float = 4.0, min_docs: int = 100, keep_columns: bool = False) -> DataFrame:
     """Rule counts, perplexity and verdict of each row of docs (doc_id, text, lang; other columns are ignored).
 
     base_failed: fewer than 50 words, or over half of the words in repeated three-word windows. kept: not base_failed,
     and the bits a character within the language's median +- (sigmas robust standard deviations + short / sqrt(characters)).
     A language with fewer than min_docs documents of 50 words has no band. Null texts are empty, a null language is one
-    of its own (''), repeated rows give a row each, an empty table gives none.
+    of its own (''), repeated rows give a row each, an empty table gives none. With keep_columns, instead: the columns of
+    docs and the verdict __kept.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    counts = rows.select("lang", "text").mapInArrow(_count, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
-    models = {lang: ngram.Model(g["code"].to_numpy()[o := np.argsort(g["code"].to_numpy())], g["n"].to_numpy()[o]) for lang, g in counts.groupby("lang")}
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+    lang, text = F.coalesce(F.col("lang").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), text.alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(_models(rows))
     schema = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, chars long, bits double, text_hash long"
     scored = written(rows.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_score(shared), schema), "quality")
     bands = _bands(scored, sigmas, min_docs)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     inside = F.lit(True)
-    for lang, mid, tolerance in bands:
-        inside = F.when(F.col("lang") == lang, F.abs(F.col("bits") - mid) <= tolerance + short / F.sqrt(F.col("chars"))).otherwise(inside)
-    return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & inside).alias("kept"), "lang", F.pow(F.lit(2.0), F.col("bits")).alias("perplexity"), "text_hash")
+    for name, mid, tolerance in bands:
+        inside = F.when(F.col("lang") == name, F.abs(F.col("bits") - mid) <= tolerance + short / F.sqrt(F.col("chars"))).otherwise(inside)
+    verdict = ~failed & inside
+    if keep_columns:  # the verdict follows from text and language: it meets the rows again by their hashes, and only rejections travel
+        out = scored.where(~verdict).select(F.col("text_hash").alias("_th"), F.col("lang").alias("_lang"), F.col("chars").alias("_chars")).distinct()
+        same = (F.xxhash64(text) == F.col("_th")) & (lang == F.col("_lang")) & (F.length(text) == F.col("_chars"))
+        return docs.join(out, same, "left").withColumn("__kept", F.col("_th").isNull()).select(*[F.col(f"`{c}`") for c in docs.columns], "__kept")
+    return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), verdict.alias("kept"), "lang", F.pow(F.lit(2.0), F.col("bits")).alias("perplexity"), "text_hash")

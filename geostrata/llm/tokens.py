@@ -101,27 +101,32 @@ class Encoder:
             counts.append(np.diff(at, prepend=0))
         return (np.concatenate(out) if out else np.zeros(0, "<u4")), (np.concatenate(counts) if counts else np.zeros(0, np.int64))
 
-    def batch(self, all_texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of texts, one after the other, and how many each has. Chunks that repeat in the batch are encoded once."""
+    def coded(self, all_texts: pa.Array) -> dict[str, np.ndarray]:
+        """Texts as chunks, each distinct chunk encoded once: index (chunk numbers, text after text), offsets of the texts in it, and each chunk's tokens, characters and start in ids."""
         all_texts = all_texts.cast(pa.large_string())
-        plain = pc.invert(pc.match_substring_regex(all_texts, r"^ | $| \s| $"))
+        plain = pc.invert(pc.match_substring_regex(all_texts, r"^ | $| \s"))
         for t in self.added:
             plain = pc.and_(plain, pc.invert(pc.match_substring(all_texts, t)))
         plain = pc.and_(plain, pc.not_equal(all_texts, ""))
         split = pc.split_pattern(pc.if_else(plain, all_texts, ""), " ")
-        offsets = split.offsets.to_numpy()
+        offsets = split.offsets.to_numpy().astype(np.int64)
         coded = split.values.dictionary_encode()
         names = coded.dictionary
         index = coded.indices.to_numpy().astype(np.int64)
         # The first chunk of a text has no space before it; texts of other shapes are encoded whole in its place.
-        heads = [self.ids(names[i].as_py()) if ok else self.ids(t.as_py()) for i, ok, t in zip(index[offsets[:-1]], plain.to_numpy(zero_copy_only=False), all_texts, strict=True)]
+        firsts = [names[i].as_py() if ok else t.as_py() for i, ok, t in zip(index[offsets[:-1]], plain.to_numpy(zero_copy_only=False), all_texts, strict=True)]
+        heads = [self.ids(t) for t in firsts]
         ids, lens = self.spaced(pc.if_else(pc.equal(names, ""), "x", names))  # an empty name stands for other texts only
-        start = np.concatenate([np.cumsum(lens) - lens, len(ids) + np.cumsum([0, *map(len, heads)])[:-1]])
-        lens = np.concatenate([lens, np.fromiter(map(len, heads), np.int64, len(heads))])
-        flat = np.concatenate([ids, *heads])
         index[offsets[:-1]] = len(names) + np.arange(len(heads))
-        n = lens[index]
+        start = np.concatenate([np.cumsum(lens) - lens, len(ids) + np.cumsum([0, *map(len, heads)])[:-1]]).astype(np.int64)
+        chars = np.concatenate([pc.utf8_length(names).to_numpy() + 1, np.fromiter(map(len, firsts), np.int64, len(firsts))])
+        return {"index": index, "offsets": offsets, "tokens": np.concatenate([lens, np.fromiter(map(len, heads), np.int64, len(heads))]), "chars": chars, "start": start, "ids": np.concatenate([ids, *heads])}
+
+    def batch(self, all_texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts, one after the other, and how many each has."""
+        c = self.coded(all_texts)
+        n = c["tokens"][c["index"]]
         to = np.cumsum(n)
-        out = flat[np.repeat(start[index] - (to - n), n) + np.arange(to[-1] if len(to) else 0)]
+        out = c["ids"][np.repeat(c["start"][c["index"]] - (to - n), n) + np.arange(to[-1] if len(to) else 0)]
         total = np.concatenate([[0], to])
-        return out, total[offsets[1:]] - total[offsets[:-1]]
+        return out, total[c["offsets"][1:]] - total[c["offsets"][:-1]]
