@@ -114,10 +114,19 @@ def as_letters(qt) -> Column:
     return F.when(q < 0, F.lit("NULL")).otherwise(F.array_join(letters, ""))
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with value computed once however often use names it: the element of an array of one."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _folded(shifted, shift: int, mask: int):
+    return lambda x: x.bitwiseOR(shifted(x, shift)).bitwiseAND(F.lit(mask))
+
+
 def _spread(v: Column) -> Column:
     """A zero bit between each two bits."""
     for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
-        v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask))
+        v = let(v, _folded(F.shiftleft, shift, mask))
     return v
 
 
@@ -125,7 +134,7 @@ def _gather(v: Column) -> Column:
     """The even bits, next to each other."""
     v = v.bitwiseAND(F.lit(0x5555555555555555))
     for shift, mask in ((1, 0x3333333333333333), (2, 0x0F0F0F0F0F0F0F0F), (4, 0x00FF00FF00FF00FF), (8, 0x0000FFFF0000FFFF), (16, 0x00000000FFFFFFFF)):
-        v = v.bitwiseOR(F.shiftright(v, shift)).bitwiseAND(F.lit(mask))
+        v = let(v, _folded(F.shiftright, shift, mask))
     return v
 
 
@@ -146,13 +155,21 @@ def as_xyz(qt) -> Column:
 
 def cell_bbox(qt, buffer: float = 0.0) -> Column:
     """The cell's box, widened by a share of its size. Cell edges are exact in binary, so they need no loop."""
-    xyz = as_xyz(qt)
+    return let(as_xyz(qt), lambda xyz: _cell_bbox(xyz, buffer))
+
+
+def _cell_bbox(xyz: Column, buffer: float) -> Column:
     cells = F.pow(F.lit(2.0), xyz["z"].cast("double"))
     west, wide = F.lit(-180.0) + F.lit(360.0) * xyz["x"] / cells, F.lit(360.0) / cells
     top, high = F.lit(90.0) - F.lit(180.0) * xyz["y"] / cells, F.lit(180.0) / cells
     north, south = inverse_mercator(top, 90.0), inverse_mercator(top - high, 90.0)
-    dx, dy = wide * buffer, (north - south) * buffer
-    return bbox(as_integer(west - dx), as_integer(south - dy), as_integer(west + wide + dx), as_integer(north + dy))
+    edges = F.struct(west.alias("w"), south.alias("s"), (west + wide).alias("e"), north.alias("n"))
+
+    def widened(b: Column) -> Column:
+        dx, dy = (b["e"] - b["w"]) * buffer, (b["n"] - b["s"]) * buffer
+        return bbox(as_integer(b["w"] - dx), as_integer(b["s"] - dy), as_integer(b["e"] + dx), as_integer(b["n"] + dy))
+
+    return let(edges, widened)
 
 
 def is_parent(a, b) -> Column:
@@ -185,9 +202,8 @@ def calculate(minlon, minlat, maxlon, maxlat, level: int = ELEMENT_LEVEL, buffer
     """The deepest cell down to level that holds a box (units of 1e-7 degrees) but for a share buffer of it; -1 if a minimum is above its maximum."""
     x0, y0, x1, y1 = map(as_degrees, (minlon, minlat, maxlon, maxlat))
     x2, y2 = F.when(x0 == x1, x1 + 0.0000001).otherwise(x1), F.when(y0 == y1, y1 + 0.0000001).otherwise(y1)
-    # The arrays of one give the four numbers names, so that each is computed once.
-    one = F.transform(F.array(F.struct((x0 / 180.0).alias("a"), (x2 / 180.0).alias("b"), mercator(y0).alias("c"), mercator(y2).alias("d"))), lambda v: _down(v, level, buffer))
-    return F.when((x0 > x1) | (y0 > y1), F.lit(INVALID).cast("long")).otherwise(F.get(one, 0))
+    four = F.struct((x0 / 180.0).alias("a"), (x2 / 180.0).alias("b"), mercator(y0).alias("c"), mercator(y2).alias("d"))
+    return F.when((x0 > x1) | (y0 > y1), F.lit(INVALID).cast("long")).otherwise(let(four, lambda v: _down(v, level, buffer)))
 
 
 def _down(v: Column, level: int, buffer: float) -> Column:
@@ -215,7 +231,7 @@ def _down(v: Column, level: int, buffer: float) -> Column:
         south = _left(F.lit(1).cast("long"), y["n"]) - 1 - y["path"]  # rows count from the north
         return from_xyz(_right(x["path"], x["n"] - n), _right(south, y["n"] - n), n)
 
-    return F.get(F.transform(F.array(F.struct(axis(v["a"], v["b"]).alias("x"), axis(v["c"], v["d"]).alias("y"))), key), 0)
+    return let(F.struct(axis(v["a"], v["b"]).alias("x"), axis(v["c"], v["d"]).alias("y")), key)
 
 
 def calculate_point(lon, lat, level: int = ELEMENT_LEVEL, buffer: float = BUFFER) -> Column:
