@@ -28,9 +28,10 @@ def _right(a: Column, n: Column) -> Column:
 
 # --- coordinates -----------------------------------------------------------------------------------------------------
 def as_integer(degrees) -> Column:
-    """Degrees to units of 1e-7 degrees, halves away from zero."""
+    """Degrees to units of 1e-7 degrees, halves away from zero; beyond what an INT holds, its ends."""
     v = _c(degrees)
-    return (v * F.lit(1e7) + F.when(v > 0, 0.5).otherwise(-0.5)).cast("int")
+    units = v * F.lit(1e7) + F.when(v > 0, 0.5).otherwise(-0.5)
+    return F.greatest(F.least(units, F.lit(2147483647.0)), F.lit(-2147483648.0)).cast("int")
 
 
 def as_degrees(units) -> Column:

@@ -57,22 +57,26 @@ def relation_quadtrees(relations: DataFrame, rel_members: DataFrame, node_qts: D
     now = written(start, "relation-cells")
     if not inner.isEmpty():
         while True:
-            below = inner.join(now.select(F.col("rel_id").alias("mem_ref"), "qt"), "mem_ref").groupBy("rel_id").agg(q.common_agg("qt").alias("inner"))
-            step = now.join(below, "rel_id", "left").select("rel_id", F.when(F.col("inner").isNull(), F.col("qt")).otherwise(q.common("qt", "inner")).alias("qt"), F.col("qt").alias("was"))
-            new = written(step, "relation-cells")
+            new = written(_widened(_widened(now.withColumn("was", F.col("qt")), inner), inner), "relation-cells")
             now = new.select("rel_id", "qt")
             if new.where("qt <> was").isEmpty():
                 break
     return now.select(F.col("rel_id").alias("id"), F.greatest("qt", F.lit(0).cast("long")).alias("quadtree"))
 
 
+def _widened(cells: DataFrame, inner: DataFrame) -> DataFrame:
+    """cells(rel_id, qt, was) with each relation's cell widened by those of the relations in it: one link further."""
+    below = inner.join(cells.select(F.col("rel_id").alias("mem_ref"), "qt"), "mem_ref").groupBy("rel_id").agg(q.common_agg("qt").alias("inner"))
+    return cells.join(below, "rel_id", "left").select("rel_id", F.when(F.col("inner").isNull(), F.col("qt")).otherwise(q.common("qt", "inner")).alias("qt"), "was")
+
+
 def quadtrees(nodes: DataFrame, way_nodes: DataFrame, relations: DataFrame, rel_members: DataFrame, level: int = q.ELEMENT_LEVEL, buffer: float = q.BUFFER, prelim: DataFrame | None = None) -> DataFrame:
     """I3, I4. elem_type, id and quadtree of everything. prelim: way cells that an earlier run wrote."""
     ways = prelim if prelim is not None else written(way_quadtrees(nodes, way_nodes, level, buffer), "way-cells")
     points = written(node_quadtrees(nodes, way_nodes, ways, level, buffer), "node-cells")
     rels = relation_quadtrees(relations, rel_members, points, ways)
     out = lambda df, kind, key: df.select(F.lit(kind).alias("elem_type"), F.col(key).alias("id"), "quadtree")
-    return out(points, 0, "id").unionByName(out(ways, 1, "way_id")).unionByName(out(rels, 2, "id"))
+    return written(out(points, 0, "id").unionByName(out(ways, 1, "way_id")).unionByName(out(rels, 2, "id")), "cells")
 
 
 def attach(elements: DataFrame, qts: DataFrame) -> DataFrame:

@@ -24,8 +24,11 @@ def tile_weights(qts: DataFrame, level: int = q.GROUP_LEVEL) -> DataFrame:
 
 
 def tile_totals(weights: DataFrame) -> DataFrame:
-    """A9. Each cell on the way up from a weighted one: its own weight and its subtree's."""
-    up = weights.select("weight", F.col("tile").alias("own"), F.explode(q.ancestors("tile")).alias("tile"))
+    """A9. Each cell on the way up from a weighted one: its own weight and its subtree's.
+
+    A cell always has ancestors; explode_outer only spares the optimizer a filter on that, which it would carry through
+    the aggregate into the expressions of the cells."""
+    up = weights.select("weight", F.col("tile").alias("own"), F.explode_outer(q.ancestors("tile")).alias("tile"))
     return up.groupBy("tile").agg(F.sum(F.when(F.col("own") == F.col("tile"), F.col("weight")).otherwise(0)).alias("weight"), F.sum("weight").alias("total"))
 
 
@@ -94,7 +97,7 @@ def greedy(tile: np.ndarray, weight: np.ndarray, total: np.ndarray, everything:
 def assign(cells: DataFrame, tiles: DataFrame, column: str = "quadtree") -> DataFrame:
     """J7. quadtree and tile: the deepest tile that is the cell or an ancestor, else the root, for each different cell."""
     one = cells.select(F.col(column).alias("quadtree")).where("quadtree >= 0").distinct()
-    up = one.select("quadtree", F.explode(q.ancestors("quadtree")).alias("tile"))
+    up = one.select("quadtree", F.explode_outer(q.ancestors("quadtree")).alias("tile"))
     hit = up.join(small(tiles.select("tile").distinct()), "tile", "left_semi").groupBy("quadtree").agg(F.max_by("tile", q.depth("tile")).alias("tile"))
     return one.join(hit, "quadtree", "left").select("quadtree", F.coalesce("tile", F.lit(0).cast("long")).alias("tile"))
 

@@ -246,12 +246,12 @@ def tile_totals(spark, d):
 
 @query
 def tile_assign(spark, d):
-    cells = written(_all_cells(spark, d), "cells")
+    cells = _all_cells(spark, d)
     return tiles.assign(cells, _tiles(spark, d, cells))
 
 
 def _tiled(spark, d):
-    cells = written(_all_cells(spark, d), "cells")
+    cells = _all_cells(spark, d)
     return tiles.with_tiles(build.attach(_elements(spark, d), cells), _tiles(spark, d, cells))
 
 
@@ -298,7 +298,7 @@ def tile_groups(spark, d):
 
 @query
 def tile_groups_assign(spark, d):
-    cells = written(_all_cells(spark, d), "cells")
+    cells = _all_cells(spark, d)
     packed = tiles.pack_tiles(tiles.tile_weights(cells), 1000)
     return tiles.with_tiles(cells, packed).groupBy("tile").agg(F.count("*").alias("n"))
 
@@ -420,7 +420,7 @@ def extra_nodes(spark, d):
 
 def _log(spark, d):
     """A log of placed rows: the base at each element's cell, and changes 1 to 5 of elements that it holds, at a cell less deep."""
-    cells = written(_all_cells(spark, d), "cells")
+    cells = _all_cells(spark, d)
     base = tiles.with_tiles(cells, _tiles(spark, d, cells)).select("elem_type", "id", "quadtree", "tile", F.lit(0).alias("changetype"), F.lit(0).cast("long").alias("seq"))
     base = written(base, "base")
     later = update.latest(view(spark, d, "changes")).where("seq <= 5").select("elem_type", "id", "changetype", "seq")
@@ -436,7 +436,7 @@ def existing_state(spark, d):
 @query
 def update_actions(spark, d):
     """Change file 2: changed nodes move, the nodes of changed ways come along, new cells follow, and rows go to tiles."""
-    cells = written(_all_cells(spark, d), "cells")
+    cells = _all_cells(spark, d)
     tile_table = written(_tiles(spark, d, cells).select("tile"), "tiles")
     before = tiles.with_tiles(cells, tile_table).select("elem_type", "id", "quadtree", "tile")
     change = _change(spark, d, 2).select("elem_type", "id", "changetype", "pos")
