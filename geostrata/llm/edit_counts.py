@@ -87,12 +87,16 @@ def _run(path: str | None) -> callable:
             out = []
             for k, (text, edits) in enumerate(zip(batch.column("text").to_pylist(), batch.column("edits").to_pylist(), strict=True)):
                 leaves = c["index"][c["offsets"][k] : c["offsets"][k + 1]]
-                tree = Tree(c["chars"][leaves], c["tokens"][leaves])
+                chars, tokens = c["chars"][leaves], c["tokens"][leaves]
+                if len(leaves) == 1 and len(chunks := own.chunks(text)) > 1:  # a text that the batch took whole
+                    known = {x: len(own.ids(x)) for x in set(chunks)}
+                    chars, tokens = np.array([len(x) for x in chunks]), np.array([known[x] for x in chunks])
+                tree = Tree(chars, tokens)
                 before = tree.tokens
                 n = len(text)
                 ok = [(min(e["start"], n), min(e["end"], n), e["new"] or "") for e in edits or ()]
                 _, encoded = apply(tree, text, ok, own)
-                out.append((len(leaves), before, tree.tokens, int(tree.sums[1, 0]), encoded))
+                out.append((len(chars), before, tree.tokens, int(tree.sums[1, 0]), encoded))
             if out:
                 yield pa.record_batch([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in zip(*out, strict=True))], ["doc_id", "n_chunks", "n_tokens", "n_tokens_after", "n_chars_after", "n_chars_encoded"])
 
