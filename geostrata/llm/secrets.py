@@ -261,10 +261,17 @@ def _labelled(b: bytes, spans: list[tuple[int, int]], kind: int, secrets: list[t
 
 
 def fitted(docs: DataFrame, sample: int = 2000, most: int = 1000) -> Field:
-    """The field, from at most sample documents (the smallest by hash of doc_id and text) and most of their windows, and as many made by rule."""
-    rows = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id", "text").alias("h")).where("length(text) < 100000").orderBy("h").limit(sample).collect()
+    """The field, from about sample documents, 2 x sample at most, and most of their windows, and as many made by rule.
+
+    Documents come in by a hash of doc_id, at a rate that the number of documents gives, so no task sends the driver more
+    than its share of the sample.
+    """
+    n = max(1, docs.count())
+    rate = F.lit(min(1 << 31, (sample << 31) // n))
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31))
+    rows = docs.select(F.coalesce("text", F.lit("")).alias("text"), h.alias("h")).where((F.col("h") < rate) & (F.length("text") < 100000)).limit(2 * sample).collect()
     own: list = []
-    for r in sorted(rows, key=lambda r: r["h"]):
+    for r in sorted(rows, key=lambda r: (r["h"], r["text"])):
         b = flat(r["text"])
         base = base_spans(r["text"], b)
         values = [(ASSIGN.match(b, s).start(1), e) if k == 0 else (s, e) for k, s, e in base]
