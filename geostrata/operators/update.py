@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from geostrata.functions import quadtree as q
 from geostrata.operators import build, merge, tiles
 from geostrata.operators.merge import CREATE, DELETE, MODIFY, NORMAL, REMOVE, UNCHANGED
+from geostrata.plans.scratch import written
 
 
 def latest(changes: DataFrame, pos: str = "pos") -> DataFrame:
@@ -56,7 +57,7 @@ def actions(change: DataFrame, before: DataFrame, cells: DataFrame, tile_table:
     new = cells.select("elem_type", "id", F.col("quadtree").alias("now"))
     joined = change.join(old, ["elem_type", "id"], "left").join(new, ["elem_type", "id"], "left")
     widened = F.when(F.col("now").isNull(), F.col("was")).when((F.col("elem_type") == 1) | F.col("was").isNull(), F.col("now")).otherwise(q.common("was", "now"))
-    with_q = joined.withColumn("q", widened)
+    with_q = written(joined.withColumn("q", widened), "new-cells")  # met twice below
     to = tiles.assign(with_q, tile_table, "q").select(F.col("quadtree").alias("_q"), F.col("tile").alias("na"))
     x = with_q.join(to, F.col("q") == F.col("_q"), "left")
     kind, here, cell = F.col("changetype"), F.col("alloc").isNotNull(), F.col("na").isNotNull()
@@ -89,7 +90,7 @@ def new_cells(change: DataFrame, change_nodes: DataFrame, change_way_nodes: Data
     live = change.where(F.col("changetype") != DELETE)
     of = live.where("elem_type = 1").select(F.col("id").alias("way_id"))
     uses = change_way_nodes.join(of, "way_id", "left_semi")
-    ways = build.way_quadtrees(change_nodes, uses, level, buffer)
+    ways = written(build.way_quadtrees(change_nodes, uses, level, buffer), "way-cells")
     points = build.node_quadtrees(change_nodes, uses, ways, level, buffer)
     out = points.select(F.lit(0).alias("elem_type"), "id", "quadtree").union(ways.select(F.lit(1), "way_id", "quadtree"))
     if change_members is None:
