@@ -10,7 +10,7 @@ W = "WITH RECURSIVE "
 
 
 def deg(x: str) -> str:
-    return f"({x} * 0.0000001)"
+    return f"(CAST({x} AS DOUBLE) * 1e-7)"
 
 
 def unit(v: str) -> str:
@@ -174,7 +174,7 @@ ORACLES = {
     "bbox_contains": f"{WAYS} SELECT way_id, minlon >= {BOX[0]} AND minlat >= {BOX[1]} AND maxlon <= {BOX[2]} AND maxlat <= {BOX[3]} AS inside FROM way_box",
     "bbox_overlaps": f"{WAYS} SELECT way_id, NOT (minlon > {BOX[2]} OR minlat > {BOX[3]} OR maxlon < {BOX[0]} OR maxlat < {BOX[1]}) AS overlaps FROM way_box",
     "bbox_contains_point": f"{W}{duck('nodes')} SELECT id, {in_box()} AS inside FROM nodes",
-    "node_ways": f"{W}{duck('nodes', 'way_nodes')} SELECT id, count(DISTINCT way_id) AS n_ways, coalesce(string_agg(DISTINCT way_id::VARCHAR, ',' ORDER BY way_id), '') AS ways FROM nodes LEFT JOIN way_nodes ON node_id = id GROUP BY id",
+    "node_ways": f"{W}{duck('nodes', 'way_nodes')} SELECT id, count(DISTINCT way_id) AS n_ways, coalesce(array_to_string(list_sort(list(DISTINCT way_id) FILTER (way_id IS NOT NULL)), ','), '') AS ways FROM nodes LEFT JOIN way_nodes ON node_id = id GROUP BY id",
     "node_quadtrees": f"{CELLS} SELECT id, quadtree FROM nq",
     "relation_quadtrees": f"{CELLS} SELECT id, quadtree FROM rq",
     "attach_quadtrees": f"{CELLS} SELECT elem_type, id, quadtree FROM att",
