@@ -46,11 +46,15 @@ def node_test(box: tuple[int, int, int, int] | None, ring: Ring | None) -> Colum
 
 def triage(tiles: DataFrame, box: tuple[int, int, int, int], ring: Ring | None = None, margin: float = 0.05) -> DataFrame:
     """F9. tile and what to do with it: all of it, test each element, or nothing."""
-    cell = q.cell_bbox("tile", margin)
-    within = q.contains(q.literal_bbox(box), cell)
-    if ring:
-        within = within & corners_in_polygon(cell, ring)
-    return tiles.select("tile", F.when(within, "all").when(q.overlaps(q.literal_bbox(box), cell), "each").otherwise("none").alias("action"))
+    wanted = q.literal_bbox(box)
+
+    def action(cell: Column) -> Column:
+        within = q.contains(wanted, cell)
+        if ring:
+            within = within & corners_in_polygon(cell, ring)
+        return F.when(within, "all").when(q.overlaps(wanted, cell), "each").otherwise("none")
+
+    return tiles.select("tile", q.let(q.cell_bbox("tile", margin), action).alias("action"))
 
 
 def ways_of(node_ids: DataFrame, way_nodes: DataFrame) -> DataFrame:

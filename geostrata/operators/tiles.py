@@ -133,7 +133,7 @@ def index_hits(index: DataFrame, ids: DataFrame) -> DataFrame:
 
 def prune(tiles: DataFrame, box: tuple[int, int, int, int], margin: float = 0.05) -> DataFrame:
     """F4. The tiles whose cells, widened by margin, overlap the box."""
-    return tiles.where(q.overlaps(q.cell_bbox("tile", margin), q.literal_bbox(box)))
+    return tiles.where(q.let(q.cell_bbox("tile", margin), lambda cell: q.overlaps(cell, q.literal_bbox(box))))
 
 
 def to_depth(tiles: DataFrame, most: int) -> DataFrame:
