@@ -1,8 +1,8 @@
 """Line dedup in DataFrame operations only: hashes of lines are range-partitioned with documents and positions in order,
 first occurrences are taken from that stream, and each document gets a run-length coded keep bitmap instead of its text.
 
-A line that a third of all documents share would fill one range, so ranges are of (hash, slice of documents); the first
-occurrence of each slice is found there, and only those firsts, a few a hash, meet to give the first of all.
+A line that a third of all documents share would fill one range. Such keys are few by count, so their first documents
+are broadcast and their rows never move; all others are streamed in order of hash, document and position.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from geostrata.llm.common import SPACE, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-SLICES = 32
+HOT = 4  # a key is hot if it holds more than a HOT-th of an even range
 
 
 def ascii_lower(text: Column) -> Column:
@@ -35,15 +35,16 @@ def drop_runs(docs: DataFrame, min_chars: int = 10, name: str = "lines") -> Data
     keyed = rows.where((F.length("line") >= min_chars) & (F.length(F.btrim(F.col("line"), F.lit(SPACE))) >= min_chars)).select("doc_id", "th", "pos", key.alias("key"))
     narrow = keyed.select("doc_id", "th", "pos", F.xxhash64("key").alias("h"), F.hash("key", F.lit(7)).alias("h2"))
     # Range bounds come from a sample, which would split and hash all texts again: the narrow rows are written once.
-    stored = written(narrow, name).withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.lit(SLICES)).cast("byte"))
+    stored = written(narrow, name)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    stream = stored.repartitionByRange(parts, "h", "h2", "slice").sortWithinPartitions("h", "h2", "slice", "doc_id", "pos")
-    in_slice = Window.partitionBy("h", "h2", "slice").orderBy("doc_id", "pos")
-    seen = stream.withColumn("first", F.first("doc_id").over(in_slice))
-    ends = stored.groupBy("h", "h2", "slice").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
-    over_slices = Window.partitionBy("h", "h2")
-    firsts = ends.select("h", "h2", "slice", F.min("a").over(over_slices).alias("global"), F.max("b").over(over_slices).alias("last")).where("global < last").select("h", "h2", "slice", "global")
-    later = seen.join(firsts, ["h", "h2", "slice"]).where(F.col("doc_id") > F.col("global")).select("doc_id", "th", "pos")
+    # Keys that hold more rows than a share of a range are fewer than HOT x parts, whatever the data: their first
+    # documents are broadcast, so a line that a third of all documents share never meets in one task.
+    share = stored.count() // (HOT * parts)
+    hot = written(stored.groupBy("h", "h2").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where(F.col("n") > share).select("h", "h2", "first"), name + "-hot")
+    known = stored.join(F.broadcast(hot), ["h", "h2"], "left")
+    stream = known.where("first is null").drop("first").repartitionByRange(parts, "h", "h2").sortWithinPartitions("h", "h2", "doc_id", "pos")
+    seen = stream.withColumn("first", F.first("doc_id").over(Window.partitionBy("h", "h2").orderBy("doc_id", "pos")))
+    later = known.unionByName(seen).where("doc_id > first").select("doc_id", "th", "pos")
     by = later.groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_hash")).agg(F.array_sort(F.collect_set("pos")).alias("p"))
     starts = F.filter("p", lambda x, i: (i == 0) | (F.get(F.col("p"), i - 1) != x - 1))
     stops = F.filter("p", lambda x, i: (i == F.size("p") - 1) | (F.get(F.col("p"), i + 1) != x + 1))

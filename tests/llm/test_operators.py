@@ -155,6 +155,13 @@ def test_line_dedup(spark, empty):
     assert Counter((r["doc_id"], r["_n"]) for r in line_dedup.line_dedup(odd).collect()) == {(None, 0): 1, (2, 1): 1, (1, 0): 2}
 
 
+def test_line_dedup_of_hot_and_rare_lines(spark):
+    """One line in every document, one in a third, pairs of documents that share one, and lines of their own, twice in a document."""
+    texts = [f"the line that ALL share\n{'' if k % 3 else 'a line of a third of them'}\na line of two documents {k // 2}\nowned line number {k}\nOwned line number {k}" for k in range(200)]
+    out = line_dedup.line_dedup(docs_of(spark, texts)).withColumn("n_lines", line_dedup.n_lines(q.F.col("text")))
+    assert rows(out, "doc_id", "n_lines", "_n", "_kept") == sorted(slow_lines(texts))
+
+
 # --- 4: quality -------------------------------------------------------------------------------------------------------
 def slow_rules(text):
     words = [w for w in re.split(r"[\x20\x09-\x0D]+", text) if w]

@@ -62,4 +62,4 @@ def test_stages_take_empty_tables(spark, tmp_path):
 
 
 def test_models_know_their_language():
-    assert line_dedup.SLICES > 1 and ngram.ORDER == 4
+    assert line_dedup.HOT > 1 and ngram.ORDER == 4
