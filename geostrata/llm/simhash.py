@@ -22,6 +22,7 @@ from geostrata.llm.common import texts, written
 
 RADIUS, SHINGLE = 3, 3
 TILE = 1 << 16  # fingerprints in a tile, about
+HOT = 4  # a node is hot if it holds more than a HOT-th of an even partition
 
 
 def fingerprint(text: str, width: int = SHINGLE) -> int:
@@ -150,20 +151,30 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     now = written(edges.distinct(), name)
     if now.isEmpty():
         return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    n_now = now.count()
     while True:
         both = now.union(now.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        down = _star(both, low, F.col("v") > F.col("u")).toDF("u", "v")  # u > v
-        low = down.groupBy("u").agg(F.min("v").alias("m"))
-        new = written(_star(down, low, F.lit(True)).union(low.select("u", "m")).select(F.least("u", "m").alias("u"), F.greatest("u", "m").alias("v")).where("u < v").distinct(), name)
-        if new.count() == now.count() and new.exceptAll(now).isEmpty():
+        low = written(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"), name)
+        down = written(_star(both, low, 2 * n_now, F.col("v") > F.col("u")).toDF("u", "v").distinct(), name)  # u > v
+        low = written(down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), name)
+        new = written(_star(down, low, down.count(), F.lit(True)).union(low.select("u", "m")).select(F.least("u", "m").alias("u"), F.greatest("u", "m").alias("v")).where("u < v").distinct(), name)
+        n_new = new.count()
+        if n_new == n_now and new.exceptAll(now).isEmpty():
             return new.select(F.col("v").alias("node"), F.col("u").alias("root"))
-        now = new
+        now, n_now = new, n_new
 
 
-def _star(links_: DataFrame, low: DataFrame, which) -> DataFrame:
-    """Each neighbour v that which admits, tied to the smallest node m around u."""
-    return links_.where(which).join(low, "u").select(F.col("v").alias("u"), "m").where("u <> m")
+def _star(links_: DataFrame, low: DataFrame, n_links: int, which) -> DataFrame:
+    """Each neighbour v that which admits, tied to the smallest node m around u. low: u, m and n, the number of links of u.
+
+    The centre of a large star would bring all its links to one task. Nodes that hold more links than a share of a
+    partition are fewer than HOT x partitions, so those are broadcast and their links stay where they are.
+    """
+    share = n_links // (HOT * int(links_.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    hot = low.where(F.col("n") > share).select("u", "m")
+    known = links_.where(which).join(F.broadcast(hot), "u", "left")
+    rest = known.where("m is null").select("u", "v").join(low.where(F.col("n") <= share).select("u", "m"), "u")
+    return known.where("m is not null").select("u", "v", "m").unionByName(rest.select("u", "v", "m")).select(F.col("v").alias("u"), "m").where("u <> m")
 
 
 def near_dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:

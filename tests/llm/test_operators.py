@@ -447,3 +447,11 @@ def test_links_lose_none(spark, tile):
     edges = simhash.near_links(points, tile=tile)
     found = {r["node"]: r["root"] for r in simhash.components(edges).collect()}
     assert [found.get(k, k) for k in range(len(prints))] == slow_components(prints)
+
+
+def test_components_of_a_star_chains_and_pairs(spark):
+    """A node with most of the links, a chain whose ends are far apart, a cycle, and pairs."""
+    links = [(5, 1000 + k) for k in range(600)] + [(2000 + k, 2001 + k) for k in range(40)] + [(3000, 3001), (3001, 3002), (3000, 3002)] + [(4000 + 2 * k, 4001 + 2 * k) for k in range(90)] + [(3, 1599)]
+    found = simhash.components(spark.createDataFrame(links + links[:50], "u long, v long")).collect()
+    want = {1000 + k: 3 for k in range(600)} | {5: 3} | {2001 + k: 2000 for k in range(40)} | {3001: 3000, 3002: 3000} | {4001 + 2 * k: 4000 + 2 * k for k in range(90)}
+    assert len(found) == len(want) and {r["node"]: r["root"] for r in found} == want
