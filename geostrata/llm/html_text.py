@@ -27,6 +27,7 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 GONE = frozenset("nav footer aside form head menu dialog button fieldset".split())
 #: Words in a class, id or role that name what is no article.
 NOT_TEXT = frozenset("nav navbar navigation menu submenu footer sidebar aside ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr banner notice notices alert comment comments commentlist reply replies respond disqus share sharing social related recommended newsletter subscribe subscription signup popup modal overlay breadcrumb breadcrumbs pagination pager toolbar widget widgets masthead login search".split())
+DIGITS = re.compile(r"&#([0-9]{5,})")
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 PLAIN = frozenset("html body article main p h1 h2 h3 h4 h5 h6 ul ol li blockquote pre table thead tbody tr td th dl dt dd br hr figure figcaption".split())
 
@@ -36,19 +37,28 @@ def _hash(s: str) -> int:
     return h - (1 << 64) if h >= 1 << 63 else h
 
 
-def blocks(page: str) -> list[tuple[str, str, bool, bool]]:
-    """(path, text, in an article, may be pruned) of each block that its own element doesn't rule out, in page order."""
+def decoded(s: str) -> str:
+    """Character references decoded; numbers with more digits than Python reads are cut to what is beyond Unicode as well."""
+    try:
+        return entities.unescape(s)
+    except ValueError:
+        return entities.unescape(DIGITS.sub(lambda m: "&#" + (m[1].lstrip("0")[:8] or "0"), s))
+
+
+def blocks(page: str) -> list[tuple[int, str, bool, bool]]:
+    """(path, text, in an article, may be pruned) of each block that its own element doesn't rule out, in page order. A path is a hash over that of its parent, so deep pages take no more than their size."""
     out: list = []
-    stack: list[tuple[str, str, bool, bool]] = []  # element, label, gone, in an article
+    stack: list[tuple[str, int, bool, bool, bool]] = []  # element, path, gone, in an article, may be pruned
     text: list[str] = []
     at, size = 0, len(page)
 
     def flush() -> None:
         if text:
-            said = " ".join(entities.unescape("".join(text)).split())
+            said = " ".join(decoded("".join(text)).split())
             text.clear()
-            if said and not (stack and stack[-1][2]):
-                out.append((">".join(x[1] for x in stack), said, bool(stack) and stack[-1][3], any(x[1] not in PLAIN for x in stack)))
+            _, path, gone, inside, may = stack[-1] if stack else ("", 0, False, False, False)
+            if said and not gone:
+                out.append((path, said, inside, may))
 
     while at < size:
         m = TAG.search(page, at)
@@ -90,7 +100,8 @@ def blocks(page: str) -> list[tuple[str, str, bool, bool]]:
                     break
         gone = (bool(stack) and stack[-1][2]) or name in GONE or named or (name == "header" and not inside)
         label = name if not attributes else name + "." + ".".join(sorted(filter(None, words)))
-        stack.append((name, label, gone, inside or name in ("article", "main")))
+        path, may = (stack[-1][1], stack[-1][4]) if stack else (0, False)
+        stack.append((name, _hash(f"{path}>{label}"), gone, inside or name in ("article", "main"), may or label not in PLAIN))
     flush()
     return out
 
@@ -100,7 +111,7 @@ def main_text(page: str, low: frozenset[int] | set[int] = frozenset()) -> str:
     found = blocks(page)
     if any(b[2] for b in found):
         found = [b for b in found if b[2]]
-    return "\n".join(b[1] for b in found if not (low and b[3] and _hash(b[0]) in low))
+    return "\n".join(b[1] for b in found if not (low and b[3] and b[0] in low))
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,7 +123,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own: dict[int, list[str]] = {}
             for path, said, _, may in blocks(page):
                 if may:
-                    own.setdefault(_hash(path), []).append(said)
+                    own.setdefault(path, []).append(said)
             rows = {(host, p, 0, 0) for p in own} | {(host, p, 1, _hash(t)) for p, ts in own.items() for t in ts} | {(host, p, 2, len(ts)) for p, ts in own.items()}
             out += rows
         if out:
@@ -136,16 +147,16 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"page_id": batch.column("page_id"), "url": batch.column("url"), "text": pa.array(out, pa.string())})
 
 
-def extract(pages: DataFrame, least: float = 0.2, min_pages: int = 10, max_broadcast: int = 200_000) -> DataFrame:
+def extract(pages: DataFrame, least: float = 0.2, min_pages: int = 10, max_broadcast: int = 2_000_000) -> DataFrame:
     """page_id, url and text of each row of pages (page_id, url, html).
 
     Null html is empty and gives an empty text; a null url belongs to the host ''. Repeated rows give a row each and an
     empty table none. Bare paragraphs, headings, lists and tables of an article are never pruned. The low paths are
-    broadcast if they are max_broadcast hosts at most, and joined by shuffles otherwise.
+    broadcast if they and their hosts are max_broadcast at most together, and joined by shuffles otherwise.
     """
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host"))
     low = written(low_paths(rows.select("host", "html"), least, min_pages), "low-paths")
-    if low.count() <= max_broadcast:
+    if (low.agg(F.sum(F.size("low") + 1)).first()[0] or 0) <= max_broadcast:
         low = F.broadcast(low)
     return rows.join(low, "host", "left").select("page_id", "url", "html", "low").mapInArrow(_texts, "page_id long, url string, text string")

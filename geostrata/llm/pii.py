@@ -54,7 +54,7 @@ def base_spans(b: bytes) -> list[tuple[int, int, int]]:
             out.append((0, s, m.end()))
             last = m.end()
         p = b.find(b"@", max(p + 1, last))
-    out += [(1, *m.span()) for m in IP.finditer(b) if all(len(x.lstrip(b"0")) < 4 and int(x) < 256 for x in m[0].split(b"."))]
+    out += [(1, *m.span()) for m in IP.finditer(b) if all(len(x.lstrip(b"0")) < 4 and int(x[-3:]) < 256 for x in m[0].split(b"."))]
     for m in CARD.finditer(b):
         digits = m[0].translate(None, NO_DIGITS)
         if 13 <= len(digits) <= 19 and luhn(digits):

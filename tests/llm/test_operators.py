@@ -79,6 +79,9 @@ def test_base_spans_match_the_plain_expressions():
         t = noisy(k)
         assert pii.base_spans(pii.flat(t)) == slow_pii(t)
         assert secrets.base_spans(t, pii.flat(t)) == slow_secrets(t)
+    zeros = "0" * 5000
+    assert pii.base_spans(pii.flat(f"at {zeros}1.2.3.{zeros} here")) == [(1, 3, 10009)]
+    assert pii.base_spans(pii.flat(f"at {zeros}256.2.3.{zeros} here")) == []
 
 
 def test_long_digit_runs_take_linear_time():
@@ -352,6 +355,12 @@ def test_pages(spark):
     assert html_text.extract(df.limit(0)).collect() == []
 
 
+def test_deep_pages_and_long_references():
+    assert html_text.main_text("<div>word " * 50_000).split("\n") == ["word"] * 50_000
+    zeros = "0" * 5000
+    assert html_text.main_text(f"<p>a&#{zeros}65;&#{'9' * 5000};&#x42;&amp;") == "aA\ufffdB&"
+
+
 def test_style_tree_removes_what_a_site_repeats(spark):
     page = lambda k: f"<body><article><div class='lead'>Read our terms</div><p>text {k} of its own</p><div class='body'>more {k * 7} here</div><p>The end.</p></article>"
     df = spark.createDataFrame([(k, f"http://h/{k}", page(k)) for k in range(40)], "page_id long, url string, html string")
