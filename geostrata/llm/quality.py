@@ -94,18 +94,44 @@ def _score(models) -> callable:
 
 
 BIN = 200  # bins of a histogram for each bit a character
+PRIOR = 20  # documents that the spread over all languages counts for in each language's own
 
 
-def _bands(scored: DataFrame, sigmas: float, min_docs: int) -> list[tuple[str, float, float]]:
-    """For each language with enough documents: the median of bits a character and the tolerance, from a histogram of all documents (its size is bounded by the bins)."""
+def _quartiles(bins: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    order = np.argsort(bins, kind="stable")
+    n = np.cumsum(counts[order])
+    return bins[order][np.searchsorted(n, np.array([0.25, 0.5, 0.75]) * n[-1])] / BIN
+
+
+def _deviation(bins: np.ndarray, counts: np.ndarray) -> float:
+    """Robust standard deviation."""
+    low, _, high = _quartiles(bins, counts)
+    return max(float(high - low), 1 / BIN) / 1.349
+
+
+def _bands(scored: DataFrame, sigmas: float) -> list[tuple[str, float, float]]:
+    """For each language: the middle of bits a character and the tolerance, from a histogram of all documents (its size is bounded by the bins).
+
+    Few documents say little: their spread is drawn towards that over all languages and widened by the standard error of
+    their median. A model has seen its language's own texts, which lowers the bits of rare languages, so only a median
+    above that over all languages is drawn to it, by the weight of one document.
+    """
     rows = scored.where("n_words >= 50").groupBy("lang", F.floor(F.col("bits") * BIN).alias("bin")).count().collect()
+    own: dict[str, list[tuple[int, int]]] = {}
+    for r in rows:
+        own.setdefault(r["lang"], []).append((r["bin"], r["count"]))
+    if not own:
+        return []
+    held = {lang: (np.array([x[0] for x in found]), np.array([x[1] for x in found])) for lang, found in sorted(own.items())}
+    mids = {lang: float(_quartiles(*found)[1]) for lang, found in held.items()}
+    counts = np.concatenate([n for _, n in held.values()])
+    middle = float(_quartiles(np.concatenate([b for b, _ in held.values()]), counts)[1])
+    pooled = _deviation(np.concatenate([b - round(mids[lang] * BIN) for lang, (b, _) in held.items()]), counts)
     out = []
-    for lang in sorted({r["lang"] for r in rows}):
-        own = sorted((r["bin"], r["count"]) for r in rows if r["lang"] == lang)
-        bins, n = np.array([x[0] for x in own]), np.cumsum([x[1] for x in own])
-        if n[-1] >= min_docs:
-            low, mid, high = (bins[np.searchsorted(n, q * n[-1])] / BIN for q in (0.25, 0.5, 0.75))
-            out.append((lang, float(mid), sigmas * max(float(high - low), 1 / BIN) / 1.349))
+    for lang, found in held.items():
+        n = int(found[1].sum())
+        spread = ((n * _deviation(*found) ** 2 + PRIOR * pooled**2) / (n + PRIOR) * (1 + np.pi / 2 / n)) ** 0.5
+        out.append((lang, min(mids[lang], (n * mids[lang] + middle) / (n + 1)), sigmas * float(spread)))
     return out
 
 
@@ -119,26 +145,24 @@ def _models(rows: DataFrame) -> dict[str, ngram.Model]:
     return out
 
 
-def quality(docs: DataFrame, sigmas: float = 8.0, short: float = 4.0, min_docs: int = 100, keep_columns: bool = False) -> DataFrame:
+def quality(docs: DataFrame, sigmas: float = 8.0, short: float = 4.0, keep_columns: bool = False) -> DataFrame:
     """Rule counts, perplexity and verdict of each row of docs (doc_id, text, lang; other columns are ignored).
 
     base_failed: fewer than 50 words, or over half of the words in repeated three-word windows. kept: not base_failed,
     and the bits a character within the language's median +- (sigmas robust standard deviations + short / sqrt(characters)).
-    A language with fewer than min_docs documents of 50 words has no band. Null texts are empty, a null language is one
-    of its own (''), repeated rows give a row each, an empty table gives none. With keep_columns, instead: the columns of
-    docs and the verdict __kept.
+    Every language with a document of 50 words has a band. Null texts are empty, a null language is one of its own (''),
+    repeated rows give a row each, an empty table gives none. With keep_columns, instead: the columns of docs and the
+    verdict __kept.
     """
     lang, text = F.coalesce(F.col("lang").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), text.alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(_models(rows))
     schema = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, chars long, bits double, text_hash long"
     scored = written(rows.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_score(shared), schema), "quality")
-    bands = _bands(scored, sigmas, min_docs)
+    bands = docs.sparkSession.createDataFrame(_bands(scored, sigmas), "_of string, _mid double, _width double")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    inside = F.lit(True)
-    for name, mid, tolerance in bands:
-        inside = F.when(F.col("lang") == name, F.abs(F.col("bits") - mid) <= tolerance + short / F.sqrt(F.col("chars"))).otherwise(inside)
-    verdict = ~failed & inside
+    scored = scored.join(F.broadcast(bands), F.col("lang") == F.col("_of"), "left")
+    verdict = ~failed & (F.abs(F.col("bits") - F.col("_mid")) <= F.col("_width") + short / F.sqrt(F.col("chars")))
     if keep_columns:  # the verdict follows from text and language: it meets the rows again by their hashes, and only rejections travel
         out = scored.where(~verdict).select(F.col("text_hash").alias("_th"), F.col("lang").alias("_lang"), F.col("chars").alias("_chars")).distinct()
         same = (F.xxhash64(text) == F.col("_th")) & (lang == F.col("_lang")) & (F.length(text) == F.col("_chars"))

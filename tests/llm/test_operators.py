@@ -231,6 +231,16 @@ def test_perplexity_bands_reject_what_is_unlike_the_language(spark, empty):
     assert kept.columns[:-1] == docs_of(spark, []).columns and [r["doc_id"] for r in kept.where("not __kept").collect()].sort() == [150, 151].sort()
 
 
+def test_rare_languages_have_a_band(spark):
+    rng = random.Random(6)
+    text = lambda: " ".join(rng.choice(["the", "of", "and", "river", "stone", "walks", "under", "bright", "over"]) for _ in range(80))
+    rows = [(k, text(), "en" if k < 120 else None if k < 140 else "xx" if k < 160 else "yy") for k in range(161)]
+    rows += [(200 + k, " ".join("".join(rng.choice("qxzjkvwpgy") for _ in range(5)) for _ in range(80)), lang) for k, lang in enumerate(["xx", None])]
+    out = {r["doc_id"]: r for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert len(out) == 163 and all(out[k]["kept"] or out[k]["base_failed"] for k in range(161))
+    assert not any(out[k]["kept"] or out[k]["base_failed"] for k in (200, 201))
+
+
 # --- 5: licenses ------------------------------------------------------------------------------------------------------
 def slow_licenses(text):
     own = licenses.words(text)
