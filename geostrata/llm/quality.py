@@ -1,14 +1,15 @@
 """Quality rules: rule counts of each text, and language-specific perplexity bands of a Kneser-Ney n-gram model.
 
 Spark counts the n-grams of every whole text; the model (ngram.Model) is built from the counts; a second scan scores
-every whole text. The band of a language lies around the median of its documents' bits a character, as wide as their
-spread asks for, and wider for short texts, whose mean is less certain.
+every whole text. The band of a language lies around the median of its documents' bits a character, as wide as the
+spread of those of like length and a stated share of false rejections ask for.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -109,29 +110,42 @@ def _deviation(bins: np.ndarray, counts: np.ndarray) -> float:
     return max(float(high - low), 1 / BIN) / 1.349
 
 
-def _bands(scored: DataFrame, sigmas: float) -> list[tuple[str, float, float]]:
-    """For each language: the middle of bits a character and the tolerance, from a histogram of all documents (its size is bounded by the bins).
+def _bands(scored: DataFrame, reject: float) -> list[tuple[str, int, float, float]]:
+    """(language, length class, middle, tolerance) in bits a character, from a histogram of all documents (its size is bounded by the bins).
 
-    Few documents say little: their spread is drawn towards that over all languages and widened by the standard error of
-    their median. A model has seen its language's own texts, which lowers the bits of rare languages, so only a median
-    above that over all languages is drawn to it, by the weight of one document.
+    A class is a power of two of characters, since the mean of a longer text is more certain. The tolerance is so many
+    robust deviations that a normal tail beyond holds the share reject of what is like the language (real tails are
+    heavier; README has the rates measured). Few documents say little: the spread of a class is drawn to that of the class
+    over all languages, and this to the one that all documents have at that length; and it is widened by the standard
+    errors of itself and of the language's median. Medians aren't drawn together: each language's model is its own, and
+    bits of a model of few texts differ from those of many.
     """
-    rows = scored.where("n_words >= 50").groupBy("lang", F.floor(F.col("bits") * BIN).alias("bin")).count().collect()
-    own: dict[str, list[tuple[int, int]]] = {}
-    for r in rows:
-        own.setdefault(r["lang"], []).append((r["bin"], r["count"]))
-    if not own:
+    keys = ("lang", F.floor(F.log2("chars")).alias("size"), F.floor(F.col("bits") * BIN).alias("bin"))
+    rows = scored.where("n_words >= 50").groupBy(*keys).count().collect()
+    if not rows:
         return []
-    held = {lang: (np.array([x[0] for x in found]), np.array([x[1] for x in found])) for lang, found in sorted(own.items())}
-    mids = {lang: float(_quartiles(*found)[1]) for lang, found in held.items()}
-    counts = np.concatenate([n for _, n in held.values()])
-    middle = float(_quartiles(np.concatenate([b for b, _ in held.values()]), counts)[1])
-    pooled = _deviation(np.concatenate([b - round(mids[lang] * BIN) for lang, (b, _) in held.items()]), counts)
+    langs, size, bins, counts = (np.array([r[c] for r in rows]) for c in ("lang", "size", "bin", "count"))
+    far, width = np.zeros(len(rows)), NormalDist().inv_cdf(1 - reject / 2)
+    names, at = np.unique(langs, return_inverse=True)
+    mids, total = np.zeros(len(names)), np.bincount(at, counts)
+    order = np.argsort(at, kind="stable")
+    for k, own in enumerate(np.split(order, np.cumsum(np.bincount(at))[:-1])):
+        mids[k] = _quartiles(bins[own], counts[own])[1]
+        far[own] = bins[own] - round(mids[k] * BIN)
+    one = _deviation(far * 2 ** ((size + 0.5) / 2), counts)  # of a character
+
+    def drawn(own: np.ndarray | list[int], towards: float) -> float:
+        n = counts[own].sum()
+        return float(np.exp((n * np.log(_deviation(far[own], counts[own])) + PRIOR * np.log(towards)) / (n + PRIOR)))
+
+    common = {int(c): drawn(size == c, one / 2 ** ((c + 0.5) / 2)) for c in np.unique(size)}
+    classes: dict[tuple[int, int], list[int]] = {}
+    for k, pair in enumerate(zip(at.tolist(), size.tolist(), strict=True)):
+        classes.setdefault(pair, []).append(k)
     out = []
-    for lang, found in held.items():
-        n = int(found[1].sum())
-        spread = ((n * _deviation(*found) ** 2 + PRIOR * pooled**2) / (n + PRIOR) * (1 + np.pi / 2 / n)) ** 0.5
-        out.append((lang, min(mids[lang], (n * mids[lang] + middle) / (n + 1)), sigmas * float(spread)))
+    for (k, c), own in sorted(classes.items()):
+        spread = drawn(own, common[c]) * (1 + 1.17 / (counts[own].sum() + PRIOR) ** 0.5) * (1 + np.pi / 2 / total[k]) ** 0.5
+        out.append((str(names[k]), c, float(mids[k]), float(width * spread)))
     return out
 
 
@@ -145,11 +159,11 @@ def _models(rows: DataFrame) -> dict[str, ngram.Model]:
     return out
 
 
-def quality(docs: DataFrame, sigmas: float = 8.0, short: float = 4.0, keep_columns: bool = False) -> DataFrame:
+def quality(docs: DataFrame, reject: float = 1e-5, keep_columns: bool = False) -> DataFrame:
     """Rule counts, perplexity and verdict of each row of docs (doc_id, text, lang; other columns are ignored).
 
     base_failed: fewer than 50 words, or over half of the words in repeated three-word windows. kept: not base_failed,
-    and the bits a character within the language's median +- (sigmas robust standard deviations + short / sqrt(characters)).
+    and the bits a character within the band of the language and length, which is to reject the share reject of good texts.
     Every language with a document of 50 words has a band. Null texts are empty, a null language is one of its own (''),
     repeated rows give a row each, an empty table gives none. With keep_columns, instead: the columns of docs and the
     verdict __kept.
@@ -159,10 +173,10 @@ def quality(docs: DataFrame, sigmas: float = 8.0, short: float = 4.0, keep_colum
     shared = docs.sparkSession.sparkContext.broadcast(_models(rows))
     schema = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, chars long, bits double, text_hash long"
     scored = written(rows.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_score(shared), schema), "quality")
-    bands = docs.sparkSession.createDataFrame(_bands(scored, sigmas), "_of string, _mid double, _width double")
+    bands = docs.sparkSession.createDataFrame(_bands(scored, reject), "_of string, _size long, _mid double, _width double")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    scored = scored.join(F.broadcast(bands), F.col("lang") == F.col("_of"), "left")
-    verdict = ~failed & (F.abs(F.col("bits") - F.col("_mid")) <= F.col("_width") + short / F.sqrt(F.col("chars")))
+    scored = scored.join(F.broadcast(bands), (F.col("lang") == F.col("_of")) & (F.floor(F.log2("chars")) == F.col("_size")), "left")
+    verdict = ~failed & (F.abs(F.col("bits") - F.col("_mid")) <= F.col("_width"))
     if keep_columns:  # the verdict follows from text and language: it meets the rows again by their hashes, and only rejections travel
         out = scored.where(~verdict).select(F.col("text_hash").alias("_th"), F.col("lang").alias("_lang"), F.col("chars").alias("_chars")).distinct()
         same = (F.xxhash64(text) == F.col("_th")) & (lang == F.col("_lang")) & (F.length(text) == F.col("_chars"))

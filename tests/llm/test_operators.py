@@ -241,6 +241,20 @@ def test_rare_languages_have_a_band(spark):
     assert not any(out[k]["kept"] or out[k]["base_failed"] for k in (200, 201))
 
 
+def test_bands_are_as_wide_as_their_length_asks(spark):
+    rng = random.Random(7)
+    words = ["the", "of", "and", "river", "stone", "walks", "under", "bright", "over", "cloud", "garden", "winter"]
+    text = lambda: " ".join(rng.choice(words) for _ in range(400))
+    menu = " | ".join(rng.choice(words) for _ in range(400))
+    texts = [text() for _ in range(300)] + [menu]
+    out = {r["doc_id"]: r for r in quality.quality(docs_of(spark, texts)).collect()}
+    judged = [k for k in range(300) if not out[k]["base_failed"]]
+    assert len(judged) > 100 and sum(not out[k]["kept"] for k in judged) <= 2
+    mixed = [" ".join(w + "&&&" * (rng.random() < 0.08) for w in text().split()) for _ in range(3)]
+    out = {r["doc_id"]: r for r in quality.quality(docs_of(spark, texts[:300] + mixed)).collect()}
+    assert not any(out[300 + k]["kept"] or out[300 + k]["base_failed"] for k in range(3))
+
+
 # --- 5: licenses ------------------------------------------------------------------------------------------------------
 def slow_licenses(text):
     own = licenses.words(text)
