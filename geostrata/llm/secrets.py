@@ -2,8 +2,8 @@
 
 Features are a token's shape, the words beside it and the file it stands in. The field is trained here, on the driver,
 from a bounded sample: windows around rule matches and around other tokens of at most sample documents, and windows made
-by rule from a fixed seed. Decoding looks at windows of tokens around those that are long or hold a digit; a plain word
-alone never begins a secret.
+by rule from a fixed seed. Decoding takes all tokens of a text: a bound from the weights proves which can't be part of a
+secret on the best path (Field.possible), and Viterbi runs over the stretches between those.
 """
 
 from __future__ import annotations
@@ -112,9 +112,13 @@ class Field:
         """The best labels by Viterbi. Inside follows only begin or inside."""
         f = features(tokens, file_kind)
         starts = np.cumsum([0, *map(len, f)])[:-1]
-        e = np.add.reduceat(self.weights[[i for x in f for i in x]], starts).tolist()
+        return self.path(np.add.reduceat(self.weights[[i for x in f for i in x]], starts))
+
+    def path(self, emitted: np.ndarray, after: bool = False, before: bool = False) -> list[int]:
+        """The best labels of tokens with these scores, where need be after or before a token outside."""
+        e = emitted.tolist()
         (bb, bi, bo), (ib, ii, io), (ob, _, oo) = self.moves.tolist()
-        b, i, o = e[0][0], -1e9, e[0][2]
+        b, i, o = e[0][0] + after * ob, -1e9, e[0][2] + after * oo
         back = []
         for x, y, z in e[1:]:
             to_b = max((b + bb, 0), (i + ib, 1), (o + ob, 2))
@@ -122,12 +126,27 @@ class Field:
             to_o = max((b + bo, 0), (i + io, 1), (o + oo, 2))
             b, i, o = to_b[0] + x, to_i[0] + y, to_o[0] + z
             back.append((to_b[1], to_i[1], to_o[1]))
-        score = np.array([b, i, o])
+        score = np.array([b + before * bo, i + before * io, o + before * oo])
         out = [int(score.argmax())]
         for came in reversed(back):
             out.append(came[out[-1]])
         return out[::-1]
 
+    def possible(self, gain: np.ndarray) -> np.ndarray:
+        """Which tokens may be part of a secret on the best path; all others are outside on it.
+
+        gain: scores of begin and inside less those of outside. A stretch of tokens in secrets gains at most the sum of the
+        tokens' greater gains with the best moves, and one way out, over being outside, so only tokens in a stretch whose
+        bound isn't below 0 are left.
+        """
+        (bb, bi, bo), (ib, ii, io), (ob, _, oo) = self.moves.tolist()
+        u = np.maximum(gain[:, 0] + (max(ob, bb, ib) - oo), gain[:, 1] + (max(bi, ii) - oo))
+        u[0] = gain[0, 0]  # no move leads to the first
+        sums = np.cumsum(u)
+        before = np.concatenate([[0.0], sums[:-1]])
+        best = np.maximum.accumulate(sums[::-1])[::-1] - np.minimum.accumulate(before)  # of the stretches through each token
+        return best + max(0.0, bo - oo, io - oo) > -1e-6
+
 
 def train(windows: list[tuple[list[bytes], int, list[int]]], epochs: int = 80, rate: float = 0.15, decay: float = 1e-3) -> Field:
     """Maximum conditional likelihood with a Gaussian prior by Adam; forward and backward run over all windows at once."""
@@ -210,11 +229,75 @@ def windows_of(b: bytes) -> Iterator[list[tuple[int, int]]]:
             yield tokens
 
 
-def found(text: str, b: bytes, field: Field, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Spans that the field tags and no base span covers or touches."""
-    out, kind = [], _file(b)
-    for spans in windows_of(b):
-        labels = field.decode([b[s:e] for s, e in spans], kind)
+BLOCK = 1 << 18
+#: 0 white space, 1 bytes of words, 2 other: a token is a run of one class.
+CLASS = np.array([0 if chr(c) in " \t\n\r\x0b\x0c" else 1 if TOKEN.match(bytes([c, 97])).end() == 2 else 2 for c in range(256)], np.uint8)
+
+
+class Scores:
+    """What each distinct token adds to the scores of its own labels and those of the tokens beside it."""
+
+    def __init__(self, field: Field, most: int = 100_000):
+        self.field, self.most = field, most
+        self.parts = field.weights[: 4 * N_OWN].reshape(4, N_OWN, 3).transpose(1, 0, 2).copy()  # by feature
+        self.clear()
+
+    def clear(self) -> None:
+        self.ids: dict[bytes, int] = {}
+        self.rows = np.zeros((1024, 4, 3))
+        self.held = 0
+
+    def number(self, tokens: list[bytes]) -> np.ndarray:
+        known = self.ids
+        new = list(set(tokens).difference(known))
+        if new:
+            first, features_ = len(known), list(map(_own, new))
+            known.update(zip(new, range(first, first + len(new)), strict=True))
+            self.held += sum(map(len, new))
+            while len(known) > len(self.rows):
+                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+            edges = np.cumsum([0, *map(len, features_)])[:-1]
+            self.rows[first : len(known)] = np.add.reduceat(self.parts[[i for f in features_ for i in f]], edges)
+        return np.fromiter(map(known.__getitem__, tokens), np.int32, len(tokens))
+
+    def emitted(self, ids: np.ndarray, lo: int, hi: int, kind: int) -> np.ndarray:
+        """The scores of tokens lo to hi among all."""
+        e = self.rows[ids[lo:hi], 0] + self.field.weights[4 * N_OWN + kind]
+        for part, shift in ((1, -1), (2, 1), (3, -2)):  # the token before, after, and two before
+            a, b = max(lo + shift, 0), min(hi + shift, len(ids))
+            if a < b:
+                e[a - shift - lo : b - shift - lo] += self.rows[ids[a:b], part]
+        return e
+
+
+def _tokens(b: bytes, scores: Scores) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers, starts and ends of all tokens."""
+    c = CLASS[np.frombuffer(b, np.uint8)]
+    cuts = np.flatnonzero(c[1:] != c[:-1]) + 1
+    starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(b)]])
+    words = c[starts] > 0
+    starts, ends = starts[words], ends[words]
+    parts = [scores.number([b[s:e] for s, e in zip(starts[k : k + BLOCK].tolist(), ends[k : k + BLOCK].tolist(), strict=True)]) for k in range(0, len(starts), BLOCK)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int32), starts, ends
+
+
+def found(text: str, b: bytes, field: Field, base: list[tuple[int, int, int]], scores: Scores | None = None) -> list[tuple[int, int, int]]:
+    """Spans that the field tags in the whole text and no base span covers or touches."""
+    scores = scores or Scores(field)
+    if len(scores.ids) > scores.most or scores.held > 1 << 24:
+        scores.clear()
+    if not b or b.isspace():
+        return []
+    ids, starts, ends = _tokens(b, scores)
+    kind, n = _file(b), len(ids)
+    gain = np.empty((n, 2))
+    for lo in range(0, n, BLOCK):
+        e = scores.emitted(ids, lo, min(n, lo + BLOCK), kind)
+        gain[lo : lo + BLOCK] = e[:, :2] - e[:, 2:]
+    edges = np.flatnonzero(np.diff(field.possible(gain), prepend=False, append=False)).tolist()
+    out = []
+    for lo, hi in zip(edges[::2], edges[1::2], strict=True):
+        labels = field.path(scores.emitted(ids, lo, hi, kind), lo > 0, hi < n)
         k = 0
         while k < len(labels):
             if labels[k] != 0:
@@ -223,7 +306,7 @@ def found(text: str, b: bytes, field: Field, base: list[tuple[int, int, int]]) -
             last = k
             while last + 1 < len(labels) and labels[last + 1] == 1:
                 last += 1
-            s, e = spans[k][0], spans[last][1]
+            s, e = int(starts[lo + k]), int(ends[lo + last])
             if not any(x < e and s < y for _, x, y in base):
                 out.append((3, s, e))
             k = last + 1
@@ -284,12 +367,13 @@ def fitted(docs: DataFrame, sample: int = 2000, most: int = 1000) -> Field:
 def _scan(shared) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("k", pa.int32()), ("s", pa.int32()), ("e", pa.int32())]))
+        scores = Scores(shared.value)
         for batch in batches:
             bases, more = [], []
             for text in batch.column("text").to_pylist():
                 b = flat(text)
                 base = base_spans(text, b)
-                extra = found(text, b, shared.value, base)
+                extra = found(text, b, shared.value, base, scores)
                 bases.append([dict(zip("kse", x, strict=True)) for x in base])
                 more.append([dict(zip("kse", x, strict=True)) for x in sorted([*base, *extra], key=lambda x: (x[1], x[0]))])
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "base": pa.array(bases, kind), "spans": pa.array(more, kind)})

@@ -125,6 +125,28 @@ def viterbi_slow(field, tokens):
     return list(best[1])
 
 
+def test_the_field_decodes_all_tokens_of_a_text():
+    rng, tagged = random.Random(8), 0
+    trained = secrets.train(secrets.made(7, 200), epochs=20)
+    for trial in range(60):
+        own = np.random.default_rng(trial)
+        weights = own.normal(size=(secrets.SIZE, 3))
+        weights[:, 2] += 0.1 * (trial % 5)
+        field = secrets.Field(weights, own.normal(size=(3, 3))) if trial % 3 else trained
+        text = " ".join(rng.choice(["pwd:", "CorrectHorse", "of", "Bearer", "QwErTyUiOpAsDfG", "and,", "\"x\"", "a7b7", "passphrase", "hunterhunter"]) for _ in range(rng.randint(0, 60)))
+        spans = [m.span() for m in secrets.TOKEN.finditer(text.encode())]
+        labels = field.decode([text.encode()[s:e] for s, e in spans], secrets._file(text.encode())) if spans else []
+        want = []
+        for (s, e), label in zip(spans, labels, strict=True):
+            if label == 0:
+                want.append((3, s, e))
+            elif label == 1:
+                want[-1] = (3, want[-1][1], e)
+        assert secrets.found(text, text.encode(), field, []) == want
+        tagged += sum(not any(c.isdigit() for c in text[s:e]) for _, s, e in want)
+    assert tagged
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(3)
     field = secrets.Field(rng.normal(size=(secrets.SIZE, 3)), rng.normal(size=(3, 3)))
