@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -86,7 +87,10 @@ def test_base_spans_match_the_plain_expressions():
 
 def test_long_digit_runs_take_linear_time():
     for t in ("1" * 200_000, "1." * 100_000, "+1" + "(" * 200_000, "a" * 200_000 + "@"):
-        assert pii.base_spans(pii.flat(t)) == slow_pii(t[:0]) or len(pii.base_spans(pii.flat(t))) > 0
+        start = time.process_time()
+        spans = pii.base_spans(pii.flat(t)), secrets.base_spans(t, pii.flat(t))
+        assert time.process_time() - start < 5
+        assert spans == ([(1, 8 * k, 8 * k + 7) for k in range(25_000)] if t[1] == "." else [], [(2, 0, 200_000)] if t[:2] in ("11", "aa") else [])
 
 
 def test_pii_patterns_lead_to_unseen_identifiers(spark, docs, empty):
@@ -101,23 +105,55 @@ def test_pii_patterns_lead_to_unseen_identifiers(spark, docs, empty):
 
 
 def test_secret_field_learns_and_reads_whole_texts(spark, docs, empty):
-    held = secrets.made(99, 300)
-    field = secrets.train(secrets.made(7, 600))
-    hit = [(field.decode(t, k), y) for t, k, y in held]
-    wrong = sum(a != b for x, y in hit for a, b in zip(x, y, strict=True))
-    assert wrong / sum(len(y) for _, y in hit) < 0.03
-    t = "word " * 2000 + "Bearer abc9f81c02d4a6e77bd1 and so on"
-    out = secrets.find(docs_of(spark, [t, None, "plain words only"]), field).orderBy("doc_id").collect()
-    assert [t[s["s"] : s["e"]] for s in out[0]["spans"]] == ["abc9f81c02d4a6e77bd1"] and not out[1]["spans"] and not out[2]["spans"]
+    field, hit, all_of, wrong = secrets.train(secrets.made(7, 1200), epochs=80), Counter(), Counter(), 0
+    for form, (t, kind, labels) in secrets.made_by_form(99, 1200):
+        tagged = field.decode(t, kind)
+        all_of[form] += 1
+        hit[form] += tagged == labels
+        wrong += not form and any(x != 2 for x in tagged)
+    assert all(hit[f] / all_of[f] > (0.4 if f in secrets.TIED else 0.7) for f in secrets.FORMS) and wrong / all_of[""] < 0.05
+    t = "word " * 2000 + "Bearer abc9f81c02d4a6e77bd1Q and so on"
+    out = secrets.find(docs_of(spark, [t, None, "plain words only", ""]), field).orderBy("doc_id").collect()
+    assert [t[s["s"] : s["e"]] for s in out[0]["spans"]] == ["abc9f81c02d4a6e77bd1Q"] and not any(r["spans"] for r in out[1:])
     assert secrets.find(empty, field).collect() == []
+    odd = spark.createDataFrame([(None, t), (3, t), (3, t)], "doc_id long, text string")
+    assert [len(r["spans"]) for r in secrets.find(odd, field).collect()] == [1, 1, 1]
 
 
-def viterbi_slow(field, tokens):
+def slow_tokens(b):
+    """Tokens one by one, with the values of their shape groups and their word bucket."""
+    out = []
+    for m in re.finditer(rb"[0-9A-Za-z\xc0-\xff+/_.-]+|[^\sA-Za-z0-9\xc0-\xff+/_.-]+", b):
+        t, n = m[0], len(m[0])
+        digits, upper, lower = (sum(c in chars for c in t) for chars in (b"0123456789", bytes(range(65, 91)), bytes([*range(97, 123), *range(192, 256)])))
+        share = 0 if not digits else 1 if digits * 4 < n else 2 if digits * 2 < n else 3 if digits < n else 4
+        turns = sum((x < 58) != (y < 58) for x, y in zip(t, t[1:], strict=False))
+        entropy = -sum(t.count(c) / n * np.log2(t.count(c) / n) for c in set(t))
+        h = 0
+        for k, c in enumerate(t):
+            h += int(secrets.FOLDED[c]) * int(secrets.POWERS[k % 64])
+        values = [digits + upper + lower == 0, t[:1] in b"=:", t[-1:] in b"\"'", min(n // 4, 10), share, (upper > 0) + 2 * (lower > 0), not t.translate(None, b"0123456789abcdef"), digits + upper + lower == n, min(turns // 2, 6), min(int(2 * entropy + 1e-9), 9), b"AKIA" in t, any(c in t.lower() for c in secrets.CUES), t.count(b".") > 1 or b"/" in t]
+        out.append((*m.span(), [int(v) for v in values], (h % 2**64 >> 40) % secrets.N_WORD))
+    return out
+
+
+def test_tokens_and_shapes_match_a_plain_reading(monkeypatch):
+    rng = random.Random(12)
+    parts = ["password=", "AKIAQ1", "a1b2", "x/y.z.w", '"', ":", "=", "É", "é", "日本", " ", "\n", "0", "Token", "api_key", "--", "...", "zzzz" * 20]
+    monkeypatch.setattr(secrets, "BLOCK", 50)
+    for n in range(60):
+        b = pii.flat("".join(rng.choice(parts) for _ in range(n)))
+        t = secrets.tokens(b)
+        got = list(zip(t.starts.tolist(), t.ends.tolist(), (secrets._unpacked(t.shapes) - secrets.FIRST).tolist(), t.words.tolist(), strict=True))
+        assert got == slow_tokens(b)
+
+
+def viterbi_slow(field, t, kind):
     import itertools
 
-    e = [field.weights[f].sum(0) for f in secrets.features(tokens, 0)]
+    e = [field.weights[f].sum(0) for f in secrets.features(t, kind)]
     best = None
-    for y in itertools.product(range(3), repeat=len(tokens)):
+    for y in itertools.product(range(3), repeat=len(e)):
         if y[0] == 1 or any(a == 2 and b == 1 for a, b in zip(y, y[1:], strict=False)):
             continue
         s = sum(e[k][c] for k, c in enumerate(y)) + sum(field.moves[a, b] for a, b in zip(y, y[1:], strict=False))
@@ -125,33 +161,66 @@ def viterbi_slow(field, tokens):
     return list(best[1])
 
 
-def test_the_field_decodes_all_tokens_of_a_text():
+def test_the_field_decodes_all_tokens_of_every_text_by_the_best_path():
     rng, tagged = random.Random(8), 0
     trained = secrets.train(secrets.made(7, 200), epochs=20)
-    for trial in range(60):
+    words = ["pwd:", "CorrectHorse", "of", "Bearer", "QwErTyUiOpAsDfG", "and,", '"x"', "a7b7", "passphrase", "hunterhunter", "{", "="]
+    for trial in range(40):
         own = np.random.default_rng(trial)
         weights = own.normal(size=(secrets.SIZE, 3))
-        weights[:, 2] += 0.1 * (trial % 5)
+        weights[:, 2] += 0.02 * (trial % 5)
         field = secrets.Field(weights, own.normal(size=(3, 3))) if trial % 3 else trained
-        text = " ".join(rng.choice(["pwd:", "CorrectHorse", "of", "Bearer", "QwErTyUiOpAsDfG", "and,", "\"x\"", "a7b7", "passphrase", "hunterhunter"]) for _ in range(rng.randint(0, 60)))
-        spans = [m.span() for m in secrets.TOKEN.finditer(text.encode())]
-        labels = field.decode([text.encode()[s:e] for s, e in spans], secrets._file(text.encode())) if spans else []
+        texts = [" ".join(rng.choice(words) for _ in range(rng.choice([0, 1, 2, 5, 60]))).encode() for _ in range(6)]
         want = []
-        for (s, e), label in zip(spans, labels, strict=True):
-            if label == 0:
-                want.append((3, s, e))
-            elif label == 1:
-                want[-1] = (3, want[-1][1], e)
-        assert secrets.found(text, text.encode(), field, []) == want
-        tagged += sum(not any(c.isdigit() for c in text[s:e]) for _, s, e in want)
+        for b in texts:
+            t, spans = secrets.tokens(b), []
+            labels = field.decode(t, secrets._file(b))
+            if len(labels) <= 7 and labels:
+                assert labels == viterbi_slow(field, t, secrets._file(b))
+            for s, e, label in zip(t.starts.tolist(), t.ends.tolist(), labels, strict=True):
+                if label == 0:
+                    spans.append((3, s, e))
+                elif label == 1:
+                    spans[-1] = (3, spans[-1][1], e)
+            want.append(spans)
+        assert secrets.found(texts, field, [[]] * len(texts)) == want
+        tagged += sum(map(len, want))
     assert tagged
 
 
-def test_viterbi_is_the_best_path():
-    rng = np.random.default_rng(3)
-    field = secrets.Field(rng.normal(size=(secrets.SIZE, 3)), rng.normal(size=(3, 3)))
-    for tokens in ([b"token", b"=", b"abc123"], [b"a", b"B2", b"ccc", b'"', b"99"]):
-        assert field.decode(tokens, 0) == viterbi_slow(field, tokens)
+def test_training_climbs_the_likelihood():
+    """The expected counts of the training equal those of all label sequences, one by one: at the optimum of a tiny field the gradient with its prior is near zero."""
+    import itertools
+
+    w = [secrets.labelled(b"key = a1b2c3 x", [(6, 12)]), secrets.labelled(b"no secret here", []), secrets.labelled(b'token: "Xy9" z', [(8, 11)])]
+    decay = 0.05
+    field = secrets.train(w, epochs=1500, rate=0.05, decay=decay, caution=0.0)
+    g = np.zeros((secrets.SIZE, 3))
+    for t, kind, y in w:
+        f = secrets.features(t, kind)
+        paths = [p for p in itertools.product(range(3), repeat=len(y)) if p[0] != 1 and not any(a == 2 and b == 1 for a, b in zip(p, p[1:], strict=False))]
+        score = np.array([sum(field.weights[f[k]].sum(0)[c] for k, c in enumerate(p)) + sum(field.moves[a, b] for a, b in zip(p, p[1:], strict=False)) for p in paths])
+        share = np.exp(score - score.max())
+        for p, s in zip(paths, share / share.sum(), strict=True):
+            for k, c in enumerate(p):
+                g[f[k], c] += s
+        for k, c in enumerate(y):
+            g[f[k], c] -= 1
+    assert np.abs(g / len(w) + decay * field.weights).max() < 0.02
+
+
+def test_hidden_seeds_are_recovered(spark):
+    """The field is fitted on two thirds of the documents; rule matches in the others must be tagged without the rules."""
+    rng = random.Random(11)
+    filler = lambda n: " ".join("".join(rng.choice("abcdefghilmnoprstu") for _ in range(rng.randint(1, 9))) for _ in range(n))
+    texts = [f"{filler(40)} {rng.choice(['password', 'secret', 'api_key'])}={''.join(rng.choice('0123456789abcdef') for _ in range(20))} {filler(30)}" for _ in range(90)] + [filler(80) for _ in range(60)]
+    field = secrets.fitted(docs_of(spark, texts[:60] + texts[90:]))
+    held = [pii.flat(t) for t in texts[60:90]]
+    bases = [secrets.base_spans(t, b) for t, b in zip(texts[60:90], held, strict=True)]
+    found = secrets.found(held, field, [[]] * 30)
+    hit = sum(any(end == b[0][2] for _, _, end in f) for f, b in zip(found, bases, strict=True))
+    assert hit >= 27 and sum(map(len, found)) <= 33
+    assert not any(secrets.found([pii.flat(t) for t in texts[90:]], field, [[]] * 60))
 
 
 # --- 3: lines ---------------------------------------------------------------------------------------------------------
@@ -250,7 +319,7 @@ def test_perplexity_bands_reject_what_is_unlike_the_language(spark, empty):
     assert out[151]["base_failed"] and not out[151]["kept"] and out[151]["n_words"] == 0
     assert quality.quality(empty).collect() == []
     kept = quality.quality(docs_of(spark, [*good, noise, None], lang=None), keep_columns=True)
-    assert kept.columns[:-1] == docs_of(spark, []).columns and [r["doc_id"] for r in kept.where("not __kept").collect()].sort() == [150, 151].sort()
+    assert kept.columns[:-1] == docs_of(spark, []).columns and sorted(r["doc_id"] for r in kept.where("not __kept").collect()) == [150, 151]
 
 
 def test_rare_languages_have_a_band(spark):
