@@ -476,11 +476,85 @@ def test_deep_pages_and_long_references():
     assert html_text.main_text(f"<p>a&#{zeros}65;&#{'9' * 5000};&#x42;&amp;") == "aA\ufffdB&"
 
 
-def test_style_tree_removes_what_a_site_repeats(spark):
-    page = lambda k: f"<body><article><div class='lead'>Read our terms</div><p>text {k} of its own</p><div class='body'>more {k * 7} here</div><p>The end.</p></article>"
-    df = spark.createDataFrame([(k, f"http://h/{k}", page(k)) for k in range(40)], "page_id long, url string, html string")
+def test_names_are_whole_words_and_never_cut_the_page():
+    one = html_text.main_text
+    assert one("<body class='has-sidebar'><p>Hello</p></body>") == one("<div class='content no-sidebar'><p>Hello</p></div>") == one("<main class='login-page-free promo'><p>Hello</p></main>") == one("<div data-id='search-12'>Hello</div>") == one("<div class='wrapper promo'><article>Hello</article></div>") == "Hello"
+    assert one("<body><div class='ad'>Buy</div><article></article></body>") == one("<nav><article>x</article></nav>") == ""
+    assert one("<div class='related'><article>card</article></div><article>Real<article class='comment'>first!</article></article>") == "Real"
+    assert one("<ul><li><a href=x>Home</a></li></ul><p>One <a>link</a> here</p><p>&copy; 2024 Foo</p>") == "One link here"
+    assert one("<div id='cookie-banner-12'>We use</div><div role='navigation'>Go</div><p>Text</p>") == "Text"
+
+
+def site(k):
+    """A page without names but for its title: what stands where is all there is."""
+    rng = random.Random(k)
+    text = "".join(f"<p>paragraph {k}.{i} of its own words {rng.random()}</p>" for i in range(rng.randint(1, 5)))
+    return f"<body><div><p>Welcome to our site</p><p>Open from nine to five</p></div><div><ul><li>Best of the month</li><li>Prices</li></ul></div><div>{text}</div><div><p>All rights are ours</p></div></body>"
+
+
+def slow_tree(pages):
+    """(content, presentation, layouts) of each path of a host, straight from its definition."""
+    parsed, out = [html_text.parsed(p) for p in pages], {}
+    for path in {p for page in parsed for p in page.paths}:
+        texts, layouts, m = Counter(), Counter(), 0
+        for page in parsed:
+            at = {k for k, p in enumerate(page.paths) if p == path}
+            m += bool(at)
+            texts.update({t for k, t, _ in page.blocks if k in at})
+            layouts.update({page.layouts[k] for k in at if page.layouts[k]})
+        if m > 1:
+            drawn = lambda x, m=m: (2 + m * x) / (2 + m)
+            content = drawn(1 - sum(np.log(n) / np.log(m) for n in texts.values()) / len(texts)) if texts else 1
+            style = drawn(-sum(n / m * np.log(n / m) for n in layouts.values()) / np.log(m)) if layouts else 1
+            out[path] = (content, style, max(1, len(layouts)))
+    return out
+
+
+def slow_blocks(text, tree, least=0.2):
+    """Blocks kept by the composite importance, by recursion; for pages without names."""
+    page = html_text.parsed(text)
+    children = {k: [c for c, up in enumerate(page.parents) if up == k] for k in range(len(page.parents))}
+    info = lambda k: tree.get(page.paths[k], (1, 1, 1))
+    own = lambda k: [t for at, t, _ in page.blocks if at == k]
+
+    def composite(k):
+        parts = [(len(t), info(k)[0]) for t in own(k)] + [composite(c)[::-1] for c in children[k]]
+        n = sum(x for x, _ in parts)
+        w = 0.9 ** info(k)[2]
+        return (1 - w) * info(k)[1] + w * (sum(x * y for x, y in parts) / n if n else 0), n
+
+    floor, out = least * max(info(k)[0] for k, _, _ in page.blocks), []
+
+    def walk(k):
+        if k == 0 or page.names[k] == "body" or composite(k)[0] >= floor:
+            out.extend((k, t) for t in own(k) if info(k)[0] >= floor)
+            for c in children[k]:
+                walk(c)
+
+    walk(0)
+    return "\n".join(t for at, t, _ in page.blocks if (at, t) in set(out))
+
+
+def test_style_tree_against_its_definition(spark):
+    pages = [site(k) for k in range(40)]
+    df = spark.createDataFrame([(k, f"http://h/{k}", p, "x") for k, p in enumerate(pages)], "page_id long, url string, html string, host string")
+    want = slow_tree(pages)
+    got = {r["path"]: (r["content"], r["presentation"], r["layouts"]) for r in html_text.style_trees(df.select("host", "html")).collect()}
+    assert {k: v for k, v in want.items() if v != (1, 1, 1)}.keys() == got.keys() and all(np.allclose(got[k], want[k]) for k in got)
     out = {r["page_id"]: r["text"] for r in html_text.extract(df).collect()}
-    assert all(out[k] == f"text {k} of its own\nmore {k * 7} here\nThe end." for k in range(40))
+    assert out == {k: slow_blocks(p, want) for k, p in enumerate(pages)}
+    assert all(t.count("\n") == p.count("paragraph") - 1 and t.startswith("paragraph") and "ours" not in t for t, p in zip((out[k] for k in range(40)), pages, strict=True))
+    assert {r["page_id"]: r["text"] for r in html_text.extract(df, max_paths=3).collect()} == out
+
+
+def test_trees_leave_copies_and_what_an_article_repeats(spark):
+    page = lambda k: f"<body><article><div class='lead'>Read our terms</div><p>text {k} of its own</p><p>The end.</p></article>"
+    rows = [(k, f"http://h/{k}", page(k)) for k in range(40)] + [(100 + k, "http://copies/", "<body><p>One text</p><p>on every page</p></body>") for k in range(30)]
+    rows += [(200 + k, "http://odd/", f"<body><div class='widget'><p>{'long text ' * 30} {k}</p></div><p>short</p></body>") for k in range(20)]
+    out = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(out[k] == f"text {k} of its own\nThe end." for k in range(40))
+    assert all(out[100 + k] == "One text\non every page" for k in range(30))
+    assert all(out[200 + k].startswith("long text") for k in range(20))
 
 
 # --- 8: benchmark -----------------------------------------------------------------------------------------------------
