@@ -104,6 +104,50 @@ def test_pii_patterns_lead_to_unseen_identifiers(spark, docs, empty):
     assert pii.find(empty).collect() == [] and pii.find(docs).count() == docs.count()
 
 
+def test_candidates_are_whole_tokens():
+    text = "mail root@localhost, or <a+b@c_d> on 06-12-34-56-78 or 030.123.456 to (555) 123 456 and 10.20.30.400. x@y.com 12a34567 1 2 " + "a" * 100 + "@localhost ok"
+    b = pii.flat(text)
+    got = [(k, text[s:e]) for k, s, e in pii.candidates(b, pii.base_spans(b))]
+    assert got == [(0, "root@localhost"), (0, "a+b@c_d"), (0, "a" * 100 + "@localhost"), (3, "06-12-34-56-78"), (3, "030.123.456"), (3, "(555) 123 456"), (1, "10.20.30.400")]
+    start = time.process_time()
+    for t in ("@" * 100_000, "1." * 100_000 + "x", "a" * 200_000, "a@ " * 50_000, "1 " * 100_000, "(1" * 100_000):
+        pii.candidates(pii.flat(t), [])
+    assert time.process_time() - start < 10
+    russian = [f"пишите сюда {k}@x по делу" for k in "аб"]
+    assert pii.patterns(0, russian[0], 12, 15)[0] == pii.patterns(0, russian[1], 12, 15)[0] != pii.patterns(0, "слово другое 1@x", 13, 16)[0]
+
+
+def slow_promoted(links, precision, support, agree):
+    """links: (k, inst, pat, seed). Rounds on sets until nothing joins."""
+    met, accepted = {}, {(k, i) for k, i, _, seed in links if seed}
+    for k, i, p, _ in links:
+        met.setdefault(p, set()).add((k, i))
+    seeds, new = set(accepted), set()
+    while True:
+        good = {(k, p) for p, all_of in met.items() for k in range(4) if (f := sum(x in accepted and x[0] == k for x in all_of)) >= support and f >= precision * len(all_of)}
+        now = {x for x in {(k, i) for k, i, _, _ in links} - seeds if sum((x[0], p) in good for p, all_of in met.items() if x in all_of) >= agree}
+        if now == new:
+            return new
+        new, accepted = now, seeds | now
+
+
+def test_promotion_reaches_the_fixpoint(spark):
+    """Chains of patterns that take many rounds, hot patterns, and random graphs, against sets."""
+    chain = [(0, i, 0, True) for i in range(6)] + [(0, i, 1, True) for i in range(6)]
+    for step in range(6):
+        own = range(100 * (step + 1), 100 * (step + 1) + 6)
+        chain += [(0, i, 2 * step + p, False) for i in own for p in (0, 1)] + [(0, i, 2 * step + 2 + p, False) for i in own for p in (0, 1)]
+    chain += [(0, i, 99, False) for i in range(100, 500)]
+    rng = random.Random(5)
+    noisy_graph = list({(k, i, rng.randrange(12)): (i % 3 > 0) for i in range(150) for k in (i % 2,) for _ in range(4)}.items())
+    noisy_graph = [(*key, seed) for key, seed in noisy_graph]
+    for links in (chain, noisy_graph, []):
+        want = slow_promoted(links, 0.3, 3, 2)
+        got = pii.promoted(spark.createDataFrame(links, "k int, inst long, pat long, seed boolean"), 0.3, 3, 2)
+        assert {(r["k"], r["inst"]) for r in got.collect()} == want
+    assert len(slow_promoted(chain, 0.3, 3, 2)) == 36
+
+
 def test_secret_field_learns_and_reads_whole_texts(spark, docs, empty):
     field, hit, all_of, wrong = secrets.train(secrets.made(7, 1200), epochs=80), Counter(), Counter(), 0
     for form, (t, kind, labels) in secrets.made_by_form(99, 1200):
