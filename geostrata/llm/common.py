@@ -52,5 +52,9 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def same_columns(docs: DataFrame, like: DataFrame) -> DataFrame:
-    return docs.select(*[F.col(f"`{c}`") for c in like.columns])
+def free_prefix(*tables: DataFrame) -> str:
+    """A prefix that no column of the tables has, in any case: names of our own that can't clash with theirs."""
+    out = "__"
+    while any(c.lower().startswith(out) for t in tables for c in t.columns):
+        out += "_"
+    return out

@@ -1,8 +1,8 @@
 """Quality rules: rule counts of each text, and language-specific perplexity bands of a Kneser-Ney n-gram model.
 
-Spark counts the n-grams of every whole text; the model (ngram.Model) is built from the counts; a second scan scores
-every whole text. The band of a language lies around the median of its documents' bits a character, as wide as the
-spread of those of like length and a stated share of false rejections ask for.
+Spark counts the n-grams of every whole text; a second scan scores every whole text by the model (ngram.Model) of its
+language. The band of a language lies around the median of its documents' bits a character, as wide as the spread of
+those of like length and a stated share of false rejections ask for.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geostrata.llm import ngram
-from geostrata.llm.common import SPACE, written
+from geostrata.llm.common import SPACE, free_prefix, written
 
 SYMBOLS = "#*$%&|<>"
 FLUSH = 4_000_000  # codes that wait for being counted
@@ -59,41 +59,70 @@ def _repeated(words: list[bytes]) -> int:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    waiting: dict[str, list[np.ndarray]] = {}
+    waiting: dict[str, list[str]] = {}
     size: Counter = Counter()
-    kept: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+    kept: dict[str, ngram.Counts] = {}
 
-    def flush(lang: str) -> None:
-        found = np.unique(np.concatenate(waiting.pop(lang)), return_counts=True)
-        kept[lang] = ngram.merged([kept[lang], found]) if lang in kept else found
-        size[lang] = 0
+    def flush(model: str) -> None:
+        kept.setdefault(model, ngram.Counts()).add(waiting.pop(model))
+        size[model] = 0
 
     for batch in batches:
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+        for model, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
             if text:
-                waiting.setdefault(lang, []).append(ngram.codes(text))
-                size[lang] += len(text)
-                if size[lang] > FLUSH:
-                    flush(lang)
-    for lang in list(waiting):
-        flush(lang)
-    for lang, (codes, n) in kept.items():
-        yield pa.record_batch({"lang": pa.array([lang] * len(codes), pa.string()), "code": pa.array(codes.astype(np.int32)), "n": pa.array(n.astype(np.int64))})
+                waiting.setdefault(model, []).append(text)
+                size[model] += len(text)
+                if size[model] > FLUSH:
+                    flush(model)
+    for model in list(waiting):
+        flush(model)
+    for model, counts in kept.items():
+        hi, lo, n = counts.rows()
+        yield pa.record_batch({"lang": pa.array([model] * len(n), pa.string()), "hi": pa.array(hi), "lo": pa.array(lo), "n": pa.array(n)})
+
+
+def bits_of(texts: list[str], names: list[str], models: dict[str, ngram.Model], block: tuple[int, int] = (0, 1)) -> np.ndarray:
+    """The sums of the bits of texts by the models named (0 without a model), over the code points of a block (number, of so many)."""
+    out, by_model = np.zeros(len(texts)), {}
+    for k, (text, name) in enumerate(zip(texts, names, strict=True)):
+        if text and name in models:
+            by_model.setdefault(name, []).append(k)
+    for name, own in by_model.items():
+        lo = 0
+        while lo < len(own):
+            hi, size = lo, 0
+            while hi < len(own) and (hi == lo or size + len(texts[own[hi]]) <= FLUSH // 4):
+                size += len(texts[own[hi]])
+                hi += 1
+            c, starts = ngram.code_points([texts[k] for k in own[lo:hi]])
+            at = ngram.inside(starts, len(c))
+            if block[1] > 1:
+                at = at[(31 * c[at - 2] + c[at - 1]) % block[1] == block[0]]
+            sums = np.concatenate([[0.0], np.cumsum(models[name].log2p(c, at), dtype=np.float64)])
+            edges = np.searchsorted(at, np.append(starts, len(c)))
+            out[own[lo:hi]] = sums[edges[:-1]] - sums[edges[1:]]
+            lo = hi
+    return out
+
 
+def _score(models, block: tuple[int, int]) -> callable:
+    """All of a row's scores in the first block, in later ones its bits alone."""
 
-def _score(models) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, langs, all_texts = (batch.column(c).to_pylist() for c in ("doc_id", "lang", "text"))
-            found = [rules(t) for t in all_texts]
-            bits = [models.value[k].bits(t) if k in models.value else 0.0 for k, t in zip(langs, all_texts, strict=True)]
-            columns = dict(zip(("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"), zip(*found, strict=True), strict=True)) if found else {}
-            if found:
-                yield pa.record_batch({"doc_id": pa.array(ids, pa.int64()), "lang": pa.array(langs, pa.string())} | {k: pa.array(v, pa.int64()) for k, v in columns.items()} | {"chars": pa.array(map(len, all_texts), pa.int64()), "bits": pa.array(bits, pa.float64()), "text_hash": batch.column("text_hash")})
+            names, all_texts = batch.column("lang").to_pylist(), batch.column("text").to_pylist()
+            bits = pa.array(bits_of(all_texts, names, models.value, block))
+            base = {k: batch.column(k) for k in ("doc_id", "lang", "text_hash")} | {"chars": pa.array(map(len, all_texts), pa.int64()), "bits": bits}
+            if block[0] == 0:
+                found = list(zip(*map(rules, all_texts), strict=True)) or [()] * len(RULES)
+                base |= {k: pa.array(v, pa.int64()) for k, v in zip(RULES, found, strict=True)}
+            yield pa.record_batch(base)
 
     return run
 
 
+RULES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+SCORED = "doc_id long, lang string, text_hash long, chars long, bits double"
 BIN = 200  # bins of a histogram for each bit a character
 PRIOR = 20  # documents that the spread over all languages counts for in each language's own
 
@@ -149,36 +178,104 @@ def _bands(scored: DataFrame, reject: float) -> list[tuple[str, int, float, floa
     return out
 
 
-def _models(rows: DataFrame) -> dict[str, ngram.Model]:
-    """A model for each language from the counts of all rows. Folded n-grams bound what comes here: 2**24 a language at most, some ten thousand in natural text."""
-    counts = rows.select("lang", "text").mapInArrow(_count, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
+def _by_model(table: pa.Table) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Code points (hi and lo hold five, other columns one each) and counts of the n-grams of each model."""
+    coded = table.column("lang").combine_chunks().dictionary_encode()
+    column = lambda c: table.column(c).to_numpy().astype(np.int64)
+    n, of, m = column("n"), coded.indices.to_numpy(zero_copy_only=False), ngram.LOW
+    if "hi" in table.column_names:
+        hi, lo = column("hi"), column("lo")
+        c = np.stack([hi >> ngram.BITS, hi & m, lo >> 2 * ngram.BITS, lo >> ngram.BITS & m, lo & m], 1)
+    else:
+        c = np.stack([column("b"), column("c")], 1)
+    order = np.argsort(of, kind="stable")
+    cuts = np.searchsorted(of[order], np.arange(len(coded.dictionary) + 1))
+    return {name: (c[order[lo:hi]], n[order[lo:hi]]) for name, lo, hi in zip(coded.dictionary.to_pylist(), cuts, cuts[1:], strict=False)}
+
+
+def counted(rows: DataFrame) -> DataFrame:
+    """(lang, hi, lo, n): the n-grams of all texts of rows (lang, text)."""
+    return written(rows.select("lang", "text").mapInArrow(_count, "lang string, hi long, lo long, n long").groupBy("lang", "hi", "lo").agg(F.sum("n").alias("n")), "n-grams")
+
+
+def _discounts(grams: DataFrame) -> dict[tuple[str, int], np.ndarray]:
+    """The discounts of each model and order, from counts of counts over all n-grams."""
+    levels, keys = grams, ["hi", "lo"]
     out = {}
-    for lang, own in counts.groupby("lang"):
-        own = own.sort_values("code")
-        out[lang] = ngram.Model(own["code"].to_numpy(), own["n"].to_numpy())
+    for o in range(ngram.ORDER, 0, -1):
+        seen = levels.where("n <= 4").groupBy("lang", "n").count().collect()
+        for name in {r["lang"] for r in seen}:
+            out[name, o] = ngram.discounts(*(sum(r["count"] for r in seen if r["lang"] == name and r["n"] == k) for k in (1, 2, 3, 4)))
+        if o > 1:  # without the first code point
+            keep = max(0, o - 4)
+            cut = {"hi": F.col("hi").bitwiseAND((1 << ngram.BITS * keep) - 1), "lo": F.col("lo").bitwiseAND((1 << ngram.BITS * min(3, o - 1)) - 1)}
+            levels = levels.groupBy("lang", *[cut[k].alias(k) for k in keys]).agg(F.count("*").alias("n"))
+    return out
+
+
+def models_of(grams: DataFrame, block: tuple[int, int], d: dict[tuple[str, int], np.ndarray]) -> dict[str, ngram.Model]:
+    """The models' part for a block of contexts: the n-grams whose two code points before the last fall in it, and all shorter ones."""
+    m = ngram.LOW
+    c = [F.shiftright("lo", 2 * ngram.BITS), F.shiftright("lo", ngram.BITS).bitwiseAND(m), F.col("lo").bitwiseAND(m)]
+    own = _by_model((grams.where((31 * c[0] + c[1]) % block[1] == block[0]) if block[1] > 1 else grams).toArrow())
+    pairs = None
+    if block[1] > 1:
+        pairs = _by_model(grams.select("lang", c[0].alias("a"), c[1].alias("b"), c[2].alias("c")).distinct().groupBy("lang", "b", "c").agg(F.count("*").alias("n")).toArrow())
+    out, none = {}, (np.zeros((0, ngram.ORDER), np.int64), np.zeros(0, np.int64))
+    for name in sorted(own.keys() | (pairs or {}).keys()):
+        levels = {ngram.ORDER: own.get(name, none)}
+        for o in range(ngram.ORDER - 1, 0, -1):
+            levels[o] = pairs[name] if o == 2 and pairs is not None else ngram.shorter(*levels[o + 1])
+        out[name] = ngram.Model(levels, {o: d.get((name, o), ngram.discounts(0, 0, 0, 0)) for o in levels})
     return out
 
 
-def quality(docs: DataFrame, reject: float = 1e-5, keep_columns: bool = False) -> DataFrame:
+def scores(rows: DataFrame, max_grams: int) -> DataFrame:
+    """SCORED and RULES of each row of rows (doc_id, lang, text, text_hash); bits is a mean over characters.
+
+    The models are broadcast in blocks of about max_grams n-grams; each block scores its share of the places of every
+    whole text, and the shares add up.
+    """
+    grams = counted(rows)
+    total = grams.count()
+    n_blocks = max(1, -(-total // max_grams))
+    d, context = _discounts(grams), rows.sparkSession.sparkContext
+    first, rest = None, None
+    for k in range(n_blocks):
+        shared = context.broadcast(models_of(grams, (k, n_blocks), d))
+        part = rows.mapInArrow(_score(shared, (k, n_blocks)), SCORED + ("".join(f", {c} long" for c in RULES) if k == 0 else ""))
+        if k == 0:
+            first = written(part, "scores")
+        else:  # rows of one text and model have the same sum
+            part = written(part.groupBy("text_hash", "lang", "chars").agg(F.max("bits").alias("bits")), "scores-block")
+            rest = part if rest is None else rest.union(part)
+        if n_blocks > 1:
+            shared.unpersist()
+    if rest is not None:
+        more = rest.groupBy("text_hash", "lang", "chars").agg(F.sum("bits").alias("_more"))
+        first = written(first.join(more, ["text_hash", "lang", "chars"], "left").withColumn("bits", F.col("bits") + F.coalesce("_more", F.lit(0.0))).drop("_more"), "scores-sum")
+    return first.withColumn("bits", F.when(F.col("chars") > 0, F.col("bits") / F.col("chars")).otherwise(0.0))
+
+
+def quality(docs: DataFrame, reject: float = 1e-5, keep_columns: str | None = None, max_grams: int = 4_000_000) -> DataFrame:
     """Rule counts, perplexity and verdict of each row of docs (doc_id, text, lang; other columns are ignored).
 
     base_failed: fewer than 50 words, or over half of the words in repeated three-word windows. kept: not base_failed,
-    and the bits a character within the band of the language and length, which is to reject the share reject of good texts.
-    Every language with a document of 50 words has a band. Null texts are empty, a null language is one of its own (''),
-    repeated rows give a row each, an empty table gives none. With keep_columns, instead: the columns of docs and the
-    verdict __kept.
+    and the bits a character within the band of the language and length, which is to reject the share reject of good
+    texts. Every language with a document of 50 words has a band. Null texts are empty, a null language is one of its own (''), repeated
+    rows give a row each, an empty table gives none. With keep_columns, instead: the columns of docs and the verdict
+    under that name. Texts meet their verdicts by 64-bit hash, length and language.
     """
     lang, text = F.coalesce(F.col("lang").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), text.alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(_models(rows))
-    schema = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, chars long, bits double, text_hash long"
-    scored = written(rows.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_score(shared), schema), "quality")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+    scored = scores(rows, max_grams)
     bands = docs.sparkSession.createDataFrame(_bands(scored, reject), "_of string, _size long, _mid double, _width double")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     scored = scored.join(F.broadcast(bands), (F.col("lang") == F.col("_of")) & (F.floor(F.log2("chars")) == F.col("_size")), "left")
     verdict = ~failed & (F.abs(F.col("bits") - F.col("_mid")) <= F.col("_width"))
     if keep_columns:  # the verdict follows from text and language: it meets the rows again by their hashes, and only rejections travel
-        out = scored.where(~verdict).select(F.col("text_hash").alias("_th"), F.col("lang").alias("_lang"), F.col("chars").alias("_chars")).distinct()
-        same = (F.xxhash64(text) == F.col("_th")) & (lang == F.col("_lang")) & (F.length(text) == F.col("_chars"))
-        return docs.join(out, same, "left").withColumn("__kept", F.col("_th").isNull()).select(*[F.col(f"`{c}`") for c in docs.columns], "__kept")
-    return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), verdict.alias("kept"), "lang", F.pow(F.lit(2.0), F.col("bits")).alias("perplexity"), "text_hash")
+        p = free_prefix(docs)
+        out = scored.where(~verdict).select(F.col("text_hash").alias(p + "th"), F.col("lang").alias(p + "lang"), F.col("chars").alias(p + "chars")).distinct()
+        same = (F.xxhash64(text) == F.col(p + "th")) & (lang == F.col(p + "lang")) & (F.length(text) == F.col(p + "chars"))
+        return docs.join(out, same, "left").select(*[F.col(f"`{c}`") for c in docs.columns], F.col(p + "th").isNull().alias(keep_columns))
+    return scored.select("doc_id", *RULES, failed.alias("base_failed"), verdict.alias("kept"), "lang", F.pow(F.lit(2.0), F.col("bits")).alias("perplexity"), "text_hash")

@@ -319,39 +319,57 @@ def test_rules():
 
 
 def slow_kn(text_list):
-    """Modified Kneser-Ney by its recursive definition, on dictionaries."""
-    grams = Counter()
+    """Modified Kneser-Ney by its recursive definition, on dictionaries of code points."""
+    levels = {5: Counter()}
     for t in text_list:
-        grams.update(ngram.codes(t).tolist())
-    levels = {4: grams}
-    for order in (3, 2, 1):
-        levels[order] = Counter(g & ((1 << 6 * order) - 1) for g in levels[order + 1])
-    discount = {o: ngram._discounts(np.array(list(c.values()))) for o, c in levels.items()}
+        padded = "\0" * 4 + t
+        levels[5].update(padded[k : k + 5] for k in range(len(t)))
+    for order in (4, 3, 2, 1):
+        levels[order] = Counter(g[1:] for g in levels[order + 1])
+    discount = {o: ngram.discounts(*(sum(n == k for n in c.values()) for k in (1, 2, 3, 4))) for o, c in levels.items()}
     by = {o: {} for o in levels}
     for o, c in levels.items():
         for g, n in c.items():
-            by[o].setdefault(g >> 6, []).append(n)
+            by[o].setdefault(g[:-1], []).append(n)
 
     def p(g, o):
         if o == 0:
-            return 1 / 64
-        own = by[o].get(g >> 6)
-        lower = p(g & ((1 << 6 * (o - 1)) - 1), o - 1)
+            return 1 / (len(levels[1]) + 1)
+        own = by[o].get(g[:-1])
+        lower = p(g[1:], o - 1)
         if own is None:
             return lower
         n, d = levels[o].get(g, 0), discount[o]
         return (n - d[min(n, 3)]) / sum(own) + sum(d[min(x, 3)] for x in own) / sum(own) * lower
 
-    return lambda g: p(g, 4)
+    return lambda t: -sum(np.log2(p(("\0" * 4 + t)[k : k + 5], 5)) for k in range(len(t)))
 
 
-def test_kneser_ney():
-    texts = [t for t in made(20) if t][:20]
-    codes, n = np.unique(np.concatenate([ngram.codes(t) for t in texts]), return_counts=True)
-    model, slow = ngram.Model(codes, n), slow_kn(texts)
-    for t in ("alpha beta gamma", "Quite unseen words 12", "zzz"):
-        c = ngram.codes(t)
-        assert np.allclose(model.log2p(c), [np.log2(slow(int(g))) for g in c], atol=1e-4)
+@pytest.mark.parametrize("most", [4_000_000, 700])
+def test_kneser_ney(spark, most):
+    """Counts in Spark and models in one block and in several, narrow and wide code points, against the definition."""
+    texts = [t for t in made(20) if t][:20] + ["日本語 の 文章 日本語", "naïve 😀 text 😀", "ab"]
+    rest = ["alpha beta gamma", "Quite unseen words 12", "zzz", "日本 😀x", ""]
+    slow = {lang: slow_kn(own) for lang, own in (("en", texts), ("de", rest[:2]))}
+    rows_ = [(k, "en", t) for k, t in enumerate(texts)] + [(100 + k, "de", t) for k, t in enumerate(rest[:2])]
+    df = spark.createDataFrame(rows_, "doc_id long, lang string, text string").withColumn("text_hash", q.F.xxhash64("text"))
+    out = {r["doc_id"]: r["bits"] for r in quality.scores(df, most).collect()}
+    assert len(out) == len(rows_) and all(np.isclose(out[k], slow[lang](t) / len(t), atol=1e-3) for k, lang, t in rows_)
+    if most > 1000:
+        grams = quality.counted(df)
+        models = quality.models_of(grams, (0, 1), quality._discounts(grams))
+        assert np.allclose(quality.bits_of(rest, ["en"] * 5, models), [slow["en"](t) for t in rest], rtol=1e-4)
+        assert quality.bits_of(["x"], ["none"], models)[0] == 0
+
+
+def test_bands_against_a_plain_version(spark):
+    """One language, one length class and many documents: the band is the median and the robust spread times the normal width, but for the prior and the standard errors."""
+    rng = np.random.default_rng(1)
+    bits = np.round(2 + 0.05 * rng.standard_normal(4000), 3)
+    rows_ = [(60, "en", 1500, float(b)) for b in bits] + [(10, "en", 1500, 9.0)]
+    ((lang, size, mid, width),) = quality._bands(spark.createDataFrame(rows_, "n_words long, lang string, chars long, bits double"), 1e-3)
+    low, middle, high = np.quantile(bits, [0.25, 0.5, 0.75])
+    assert (lang, size) == ("en", 10) and abs(mid - middle) < 0.006 and abs(width / (3.29 * (high - low) / 1.349) - 1) < 0.12
 
 
 def test_perplexity_bands_reject_what_is_unlike_the_language(spark, empty):
@@ -362,7 +380,7 @@ def test_perplexity_bands_reject_what_is_unlike_the_language(spark, empty):
     assert all(out[k]["kept"] for k in range(150)) and not out[150]["base_failed"] and not out[150]["kept"]
     assert out[151]["base_failed"] and not out[151]["kept"] and out[151]["n_words"] == 0
     assert quality.quality(empty).collect() == []
-    kept = quality.quality(docs_of(spark, [*good, noise, None], lang=None), keep_columns=True)
+    kept = quality.quality(docs_of(spark, [*good, noise, None], lang=None), keep_columns="__kept")
     assert kept.columns[:-1] == docs_of(spark, []).columns and sorted(r["doc_id"] for r in kept.where("not __kept").collect()) == [150, 151]
 
 
