@@ -1,7 +1,8 @@
 """Benchmark decontamination: a broadcast hash set of normalised test n-grams, a scan of every document's token windows, a check of each hit, and its spans.
 
-The set is broadcast only below max_windows windows; a larger benchmark is dealt into blocks of that many and the
-documents are scanned once a block, so that no task ever holds more.
+The set is broadcast only below max_windows windows; a larger benchmark is dealt into blocks of about that many. Each
+block scans all documents in a job of its own, whose hits are written and which then gives its memory back, so no task
+holds more than one block; the hits of all blocks meet the documents by their texts' hashes.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from geostrata.llm.common import free_prefix, written
+
 WIDTH = 8
 #: Word bytes map to themselves or lower case, all other ASCII bytes to a space.
 WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -82,25 +85,25 @@ def _edges(hit: np.ndarray) -> list[int]:
     return np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))).tolist()
 
 
-def _scan(block, names: list[str], first: bool, remove: int | None) -> callable:
-    """Appends what a block of items hits to what the blocks before it hit. remove: in the last scan, rewrite the texts and leave out those with so many items."""
+def _scan(block, names: list[str], prefix: str, remove: int | None, old: tuple[str, str] | None = None) -> callable:
+    """Scan texts for the items of a block, or, without one, take the hits found before from the columns old. remove: rewrite the texts and leave out those with so many items."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, spans, items = [], [], []
             all_texts = batch.column("text").to_pylist()
-            before = zip(batch.column("__edges").to_pylist(), batch.column("__items").to_pylist(), strict=True) if not first else [((), ())] * len(all_texts)
-            for text, (old, had) in zip(all_texts, before, strict=True):
+            before = zip(*(batch.column(c).to_pylist() for c in old), strict=True) if old else [(None, None)] * len(all_texts)
+            for text, (edges, had) in zip(all_texts, before, strict=True):
                 ws = words(text or "")
-                hit, found = block.value.scan(ws)
-                for a, b in zip(old[::2], old[1::2], strict=True):
+                hit, found = block.value.scan(ws) if block else (np.zeros(len(ws), bool), set())
+                for a, b in zip((edges or ())[::2], (edges or ())[1::2], strict=True):
                     hit[a:b] = True
                 n.append(len(ws))
                 spans.append(_edges(hit))
-                items.append(sorted(found.union(had)))
+                items.append(sorted(found.union(had or ())))
             columns = [batch.column(c) for c in names]
             if remove is None:
-                yield pa.record_batch([*columns, pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.int64()))], [*names, "__n_words", "__edges", "__items"])
+                yield pa.record_batch([*columns, pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.int64()))], [*names, *(prefix + c for c in RESULTS)])
                 continue
             columns[names.index("text")] = pa.array([t if t is None else remove_spans(t, e) for t, e in zip(all_texts, spans, strict=True)], pa.string())
             yield pa.record_batch(columns, names).filter(pa.array([len(x) < remove for x in items], pa.bool_()))
@@ -108,27 +111,48 @@ def _scan(block, names: list[str], first: bool, remove: int | None) -> callable:
     return run
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, max_windows: int = 2_000_000, remove: int | None = None) -> DataFrame:
-    """docs with __n_words, __edges (hit spans as word positions: start, end, start, end, ...) and __items (the items found, sorted).
+def _hits(docs: DataFrame, blocks: Iterator[Windows]) -> DataFrame:
+    """(th, chars, edges, items) of the texts that any block hits, over all blocks."""
+    spark, out = docs.sparkSession, None
+    rows = docs.where("text is not null").select(F.xxhash64("text").alias("th"), F.length("text").alias("chars"), "text")
+    schema = "th long, chars int, text string, n_words long, edges array<long>, items array<long>"
+    for windows in blocks:
+        shared = spark.sparkContext.broadcast(windows)
+        found = rows.mapInArrow(_scan(shared, rows.columns, "", None), schema).where("size(items) > 0")
+        part = written(found.groupBy("th", "chars").agg(F.first("edges").alias("edges"), F.first("items").alias("items")), "hits")
+        shared.destroy()
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy("th", "chars").agg(F.flatten(F.collect_list("edges")).alias("edges"), F.flatten(F.collect_list("items")).alias("items"))
+
+
+RESULTS = ("n_words", "edges", "items")
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, max_windows: int = 250_000, remove: int | None = None, prefix: str = "__") -> DataFrame:
+    """docs with __n_words, __edges (hit spans as word positions: start, end, start, end, ...) and __items (the items found, sorted); prefix stands before these names.
 
     With remove, instead: docs without the rows that hold so many items or more and without the hit spans of the others;
     n_chars, if there, follows the text. Null texts have no words and stay null; a benchmark without words hits nothing;
-    rows of the benchmark with a null are no items; repeated rows give a row each; an empty table gives none. Other
-    columns pass through under their own names.
+    rows of the benchmark with a null are no items, rows that repeat an item_id are one item; repeated rows give a row
+    each; an empty table gives none. Other columns pass through; they must not have the names of results. A block holds
+    max_windows windows at most, or one item.
     """
-    spark, names = docs.sparkSession, docs.columns
+    spark, names, p = docs.sparkSession, docs.columns, free_prefix(docs)
     items = benchmark.where("text is not null and item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     # A word and its separator take two characters at least, so the length bounds the number of windows.
     total = items.agg(F.sum(F.length("text") / 2 + 1)).first()[0] or 0
     n_blocks = max(1, int(np.ceil(total / max_windows)))
     block = F.pmod(F.xxhash64("item_id"), F.lit(n_blocks))
+    blocks = (Windows([(r["item_id"], words(r["text"])) for r in items.where(block == k).collect()], width) for k in range(n_blocks))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    extra = ", __n_words long, __edges array<long>, __items array<long>"
-    out = docs
-    for k in range(n_blocks):
-        own = [(r["item_id"], words(r["text"])) for r in items.where(block == k).collect()]
-        last = k == n_blocks - 1 and remove is not None
-        out = out.mapInArrow(_scan(spark.sparkContext.broadcast(Windows(own, width)), names, k == 0, remove if last else None), kinds if last else kinds + extra)
+    if remove is None:
+        kinds += f", `{prefix}n_words` long, `{prefix}edges` array<long>, `{prefix}items` array<long>"
+    if n_blocks == 1:
+        out = docs.mapInArrow(_scan(spark.sparkContext.broadcast(next(blocks)), names, prefix, remove), kinds)
+    else:
+        hits = _hits(docs.select("text"), blocks).toDF(*[p + c for c in ("th", "chars", "edges", "items")])
+        met = docs.join(hits, (F.xxhash64("text") == F.col(p + "th")) & (F.length("text") == F.col(p + "chars")), "left").select(*[F.col(f"`{c}`") for c in names], p + "edges", p + "items")
+        out = met.mapInArrow(_scan(None, names, prefix, remove, (p + "edges", p + "items")), kinds)
     if remove is not None and "n_chars" in names:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out

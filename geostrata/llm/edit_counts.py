@@ -52,17 +52,29 @@ class Tree:
         return int(self.sums[1, 1])
 
 
-def edited(text: str, edits: list[tuple[int, int, str]]) -> str:
-    """The text after all edits; their places are those of the text before."""
-    for start, end, new in sorted(edits, key=lambda e: (e[0], e[1]), reverse=True):
+Edit = tuple[int, int, str]
+
+
+def cleaned(edits: list[dict | None] | None, size: int) -> list[Edit]:
+    """Edits by start and end, within a text of size characters, apart from each other. A null, or one with a null place, is none; an end before the start is the start; what overlaps the edit before begins where that ends."""
+    out: list[Edit] = []
+    for start, end, new in sorted((e["start"], e["end"], e["new"] or "") for e in edits or () if e and e["start"] is not None and e["end"] is not None):
+        start = min(max(start, out[-1][1] if out else 0), size)
+        out.append((start, min(max(end, start), size), new))
+    return out
+
+
+def edited(text: str, edits: list[Edit]) -> str:
+    """The text after all edits, as cleaned; their places are those of the text before."""
+    for start, end, new in reversed(edits):
         text = text[:start] + new + text[end:]
     return text
 
 
-def apply(tree: Tree, text: str, edits: list[tuple[int, int, str]], own: Encoder) -> tuple[str, int]:
-    """Bring tree to the text after edits (start, end, new; no two overlap); the text and how many characters were encoded."""
+def apply(tree: Tree, text: str, edits: list[Edit], own: Encoder) -> tuple[str, int]:
+    """Bring tree to the text after edits, as cleaned; the text and how many characters were encoded."""
     encoded = 0
-    for start, end, new in sorted(edits, key=lambda e: (e[0], e[1]), reverse=True):
+    for start, end, new in reversed(edits):
         first, at = tree.leaf(start)
         last, to = tree.leaf(max(start, end - 1))
         to += int(tree.sums[tree.size + last, 0])
@@ -79,39 +91,62 @@ def apply(tree: Tree, text: str, edits: list[tuple[int, int, str]], own: Encoder
     return text, encoded
 
 
-def _run(path: str | None) -> callable:
+def built(text: str, own: Encoder) -> tuple[np.ndarray, np.ndarray]:
+    """Characters and tokens of a text's leaves, each distinct chunk encoded once."""
+    chunks = own.chunks(text)
+    known = {x: len(own.ids(x)) for x in set(chunks)}
+    return np.array([len(x) for x in chunks], np.int64), np.array([known[x] for x in chunks], np.int64)
+
+
+COUNTS = ("n_chunks", "n_tokens", "n_tokens_after", "n_chars_after", "n_chars_encoded")
+
+
+def _run(path: str | None, keep: bool) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         for batch in batches:
-            c = own.coded(batch.column("text"))
-            out = []
-            for k, (text, edits) in enumerate(zip(batch.column("text").to_pylist(), batch.column("edits").to_pylist(), strict=True)):
-                leaves = c["index"][c["offsets"][k] : c["offsets"][k + 1]]
-                chars, tokens = c["chars"][leaves], c["tokens"][leaves]
-                if len(leaves) == 1 and len(chunks := own.chunks(text)) > 1:  # a text that the batch took whole
-                    known = {x: len(own.ids(x)) for x in set(chunks)}
-                    chars, tokens = np.array([len(x) for x in chunks]), np.array([known[x] for x in chunks])
+            texts, out, trees = batch.column("text").to_pylist(), [], []
+            kept = [None if t is None else (np.array([x["chars"] for x in t], np.int64), np.array([x["tokens"] for x in t], np.int64)) for t in batch.column("leaves").to_pylist()]
+            kept = [t if t is not None and t[0].sum() == len(text) else None for t, text in zip(kept, texts, strict=True)]
+            new = [k for k, t in enumerate(kept) if t is None]
+            c = own.coded(batch.column("text").take(pa.array(new, pa.int64()))) if new else {}
+            for at, k in enumerate(new):
+                leaves = c["index"][c["offsets"][at] : c["offsets"][at + 1]]
+                kept[k] = c["chars"][leaves], c["tokens"][leaves]
+                if len(leaves) == 1 and len(own.chunks(texts[k])) > 1:  # a text that the batch took whole
+                    kept[k] = built(texts[k], own)
+            for (chars, tokens), text, edits in zip(kept, texts, batch.column("edits").to_pylist(), strict=True):
                 tree = Tree(chars, tokens)
                 before = tree.tokens
-                n = len(text)
-                ok = [(min(e["start"], n), min(e["end"], n), e["new"] or "") for e in edits or ()]
-                _, encoded = apply(tree, text, ok, own)
+                _, encoded = apply(tree, text, cleaned(edits, len(text)), own)
                 out.append((len(chars), before, tree.tokens, int(tree.sums[1, 0]), encoded))
+                if keep:
+                    after = tree.sums[tree.size :]
+                    trees.append([{"chars": x, "tokens": y} for x, y in after[after[:, 0] > 0].tolist()])
             if out:
-                yield pa.record_batch([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in zip(*out, strict=True))], ["doc_id", "n_chunks", "n_tokens", "n_tokens_after", "n_chars_after", "n_chars_encoded"])
+                columns = [batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in zip(*out, strict=True))]
+                yield pa.record_batch([*columns, pa.array(trees, LEAVES)] if keep else columns, ["doc_id", *COUNTS, *["leaves"] * keep])
 
     return run
 
 
-def recount(docs: DataFrame, edits: Column, tokenizer: str | None = None) -> DataFrame:
+LEAVES = pa.list_(pa.struct([("chars", pa.int64()), ("tokens", pa.int64())]))
+TREE = "array<struct<chars:bigint,tokens:bigint>>"
+
+
+def recount(docs: DataFrame, edits: Column, tokenizer: str | None = None, leaves: Column | None = None, keep: bool = False) -> DataFrame:
     """Token counts of each row of docs (doc_id, text) before and after its edits: an array of (start, end, new).
 
-    Places are code points of the text before all edits, end exclusive, cut to the text; edits of a row don't overlap.
-    Null texts are empty, null edits are none; a null doc_id is kept; repeated rows give a row each; an empty table none.
+    Places are code points of the text before all edits, end exclusive, cut to the text; see cleaned for nulls and
+    overlaps. keep: with leaves, the tree of the text after the edits as (chars, tokens) of its leaves. Given as leaves
+    with that text, it spares the encoding of all that new edits don't touch; a tree that doesn't fit its text in length
+    is built anew. Null texts are empty, null edits are none; a null doc_id is kept; repeated rows give a row each; an
+    empty table none.
     """
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), edits.cast("array<struct<start:bigint,end:bigint,new:string>>").alias("edits"))
-    return rows.mapInArrow(_run(tokenizer), "doc_id long, n_chunks long, n_tokens long, n_tokens_after long, n_chars_after long, n_chars_encoded long")
+    tree = (F.lit(None) if leaves is None else leaves).cast(TREE).alias("leaves")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), edits.cast("array<struct<start:bigint,end:bigint,new:string>>").alias("edits"), tree)
+    return rows.mapInArrow(_run(tokenizer, keep), "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + (f", leaves {TREE}" if keep else ""))
 
 
 def usual_edits(text: Column) -> Column:

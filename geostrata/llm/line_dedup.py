@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from geostrata.llm.common import SPACE, written
+from geostrata.llm.common import SPACE, free_prefix, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HOT = 4  # a key is hot if it holds more than a HOT-th of an even range
@@ -63,18 +63,19 @@ def _between(lines: Column, dropped: Column) -> Column:
     return F.array_join(F.concat(F.flatten(before), after), "\n")
 
 
-def line_dedup(docs: DataFrame, min_chars: int = 10) -> DataFrame:
-    """docs with _n (lines dropped), _dropped (runs of dropped lines; null: none) and _kept (the text of the other lines).
+def line_dedup(docs: DataFrame, min_chars: int = 10, prefix: str = "_") -> DataFrame:
+    """docs with _n (lines dropped), _dropped (runs of dropped lines; null: none) and _kept (the text of the other lines); prefix stands before these names.
 
     A line's key is the line stripped of white space and lower-cased in A-Z; a key of min_chars code points found in two
     documents loses its lines everywhere but in the smallest doc_id. Null or empty texts are one empty line. Rows with a
     null doc_id keep all lines and hold no keys; rows that repeat a doc_id are one document; empty tables give no rows.
-    Other columns pass through.
+    Other columns pass through; they must not have the names of results. Lines are told apart by 96 bits of hash.
     """
-    runs = drop_runs(docs.select("doc_id", "text"), min_chars)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    joined = docs.withColumn("_th", F.xxhash64(text)).join(runs, (F.col("doc_id") == F.col("_id")) & (F.col("_th") == F.col("_hash")), "left")
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], F.coalesce("_n", F.lit(0).cast("long")).alias("_n"), "_dropped", F.when(F.col("_n").isNull(), text).otherwise(kept_text(F.col("text"), F.col("_dropped"))).alias("_kept"))
+    p, text = free_prefix(docs), F.coalesce(F.col("text"), F.lit(""))
+    runs = drop_runs(docs.select("doc_id", "text"), min_chars).toDF(*[p + c for c in ("id", "hash", "n", "dropped")])
+    joined = docs.join(runs, (F.col("doc_id") == F.col(p + "id")) & (F.xxhash64(text) == F.col(p + "hash")), "left")
+    kept = F.when(F.col(p + "n").isNull(), text).otherwise(kept_text(F.col("text"), F.col(p + "dropped")))
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], F.coalesce(p + "n", F.lit(0).cast("long")).alias(prefix + "n"), F.col(p + "dropped").alias(prefix + "dropped"), kept.alias(prefix + "kept"))
 
 
 def n_lines(text: Column) -> Column:

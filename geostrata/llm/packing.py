@@ -3,8 +3,10 @@
 Pieces are known by their length alone until the end, and a length is at most the capacity, so the plan works on a
 histogram that the capacity bounds, not on the corpus. Large pieces (over a share of the capacity) are sorted by length,
 cut into groups of equal cardinality and rounded up to their group's largest length (linear grouping); configurations of
-those few sizes are chosen by column generation over the linear relaxation's greedy dual, then real lengths take the
-places of rounded ones, and small pieces fill the gaps best-fit, longest first. The plan is a list of runs; a second
+those few sizes are chosen by column generation: the linear relaxation's duals price the sizes, and a knapsack over those
+prices gives the next configuration until none is worth more than a sequence. The relaxation is rounded down and the rest
+filled by the fullest configurations; real lengths take the places of rounded ones, and small pieces fill the gaps
+best-fit, longest first. The plan is a list of runs; a second
 distributed step gives each piece its rank among those of its length, which is its place in the runs.
 """
 
@@ -60,16 +62,59 @@ def _groups(lengths: np.ndarray, counts: np.ndarray, k: int) -> list[list[tuple[
     return out + [own] if own else out
 
 
-def _configurations(sizes: list[int], demand: list[int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """(how many of each size, times): fills the demand; each step takes the fullest configuration that holds the largest size left (a knapsack over what is left), as often as the demand lasts."""
+def _worth_most(sizes: list[int], prices: np.ndarray, capacity: int) -> np.ndarray:
+    """How many of each size a sequence of the highest total price holds."""
+    values = [np.zeros(capacity + 1)]
+    for size, price in zip(sizes, prices.tolist(), strict=True):
+        v = values[-1].copy()
+        if price > 0:
+            for _ in range(capacity // size):
+                v[size:] = np.maximum(v[size:], v[:-size] + price)
+        values.append(v)
+    out, room = np.zeros(len(sizes), np.int64), capacity
+    for k in range(len(sizes) - 1, -1, -1):
+        while room >= sizes[k] and values[k + 1][room] > values[k][room] + 1e-12:
+            out[k] += 1
+            room -= sizes[k]
+    return out
+
+
+def relaxed(sizes: list[int], demand: list[int], capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Configurations (a column each) and how often the linear relaxation uses each, by column generation. Every basis is feasible, so the bound on the steps costs quality at most."""
+    d = np.array(demand, float)
+    basis = np.diag([float(capacity // x) for x in sizes])
+    for _ in range(40 * len(sizes)):
+        prices = np.linalg.solve(basis.T, np.ones(len(sizes)))
+        new = _worth_most(sizes, prices, capacity)
+        if prices @ new <= 1 + 1e-9:
+            break
+        times, turn = np.linalg.solve(basis, d), np.linalg.solve(basis, new.astype(float))
+        ratio = np.where(turn > 1e-9, times / np.maximum(turn, 1e-9), np.inf)
+        basis[:, int(ratio.argmin())] = new
+    return basis, np.linalg.solve(basis, d)
+
+
+def _configurations(sizes: list[int], demand: list[int], capacity: int, relax: bool = True) -> list[tuple[tuple[int, ...], int]]:
+    """(how many of each size, times): fills the demand by the rounded relaxation, and what is left by the fullest configurations."""
+    left, out = np.array(demand), []
+    if relax:
+        columns, times = relaxed(sizes, demand, capacity)
+        for column, n in zip(columns.T.round().astype(np.int64), np.floor(np.maximum(times, 0) + 1e-6).astype(np.int64).tolist(), strict=True):
+            n = min([n, *(left[column > 0] // column[column > 0]).tolist()])
+            if n:
+                out.append((tuple(column.tolist()), n))
+                left -= n * column
+    return out + _fullest(sizes, left.tolist(), capacity)
+
+
+def _fullest(sizes: list[int], demand: list[int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """(how many of each size, times): each step takes the fullest configuration that holds the largest size left (a knapsack over what is left), as often as the demand lasts."""
     left, out = list(demand), []
     while any(left):
         best: dict[int, tuple[int, ...]] = {}
         lead = next(k for k, n in enumerate(left) if n)  # sizes descend
         room = capacity - sizes[lead]
-        reach: list[tuple[int, int] | None] = [None] * (room + 1)  # how a fill was reached: size index, how many
-        fills, used = np.zeros(room + 1, bool), {0: ()}
-        fills[0] = True
+        used: dict[int, tuple[int, ...]] = {0: ()}
         for k in range(lead, len(sizes)):
             n = left[k] - (k == lead)
             if n <= 0 or sizes[k] > room:
@@ -91,11 +136,10 @@ def _configurations(sizes: list[int], demand: list[int], capacity: int) -> list[
         for k, c in enumerate(config):
             left[k] -= c * times
         out.append((config, times))
-        del reach, fills
     return out
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = 24, large: float = 0.125) -> tuple[list[tuple[int, int, int, int, int]], int]:
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = 24, large: float = 0.125, relax: bool = True) -> tuple[list[tuple[int, int, int, int, int]], int]:
     """Runs (length, first rank, first sequence, pieces a sequence, offset) and the number of sequences.
 
     The pieces of a length take its runs in order of rank: in a run, rank r is in sequence first + (r - rank) // pieces,
@@ -114,7 +158,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = 24,
             merged.setdefault(g[0][0], []).extend(g)
         sizes = sorted(merged, reverse=True)
         stock = [list(merged[s]) for s in sizes]
-        for config, times in _configurations(sizes, [sum(n for _, n in merged[s]) for s in sizes], capacity):
+        for config, times in _configurations(sizes, [sum(n for _, n in merged[s]) for s in sizes], capacity, relax):
             while times:
                 slots = [k for k, c in enumerate(config) for _ in range(c)]
                 # Real lengths replace the rounded ones: as many sequences alike as the shortest run of each slot's size allows.
@@ -162,8 +206,8 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = 24,
 
 
 def best_plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[int, int, int, int, int]], int]:
-    """The plan with the fewest sequences over a few numbers of groups and shares of large pieces."""
-    tried = (plan(histogram, capacity, groups, large) for large in (0.1, 0.25, 0.5) for groups in (12, 24, 48, 96))
+    """The plan with the fewest sequences over a few numbers of groups and shares of large pieces, with the relaxation and by the fullest configurations alone."""
+    tried = (plan(histogram, capacity, groups, large, relax) for relax in (True, False) for large in (0.1, 0.25, 0.5) for groups in (12, 24, 48, 96))
     return min(tried, key=lambda p: (p[1], len(p[0])))
 
 

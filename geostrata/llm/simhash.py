@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from geostrata.llm.common import texts, written
 
 RADIUS, SHINGLE = 3, 3
-TILE = 1 << 16  # fingerprints in a tile, about
+TILE, TILES = 1 << 20, 32  # fingerprints in a tile at most, about; tiles at least, if they hold a thousand
 HOT = 4  # a node is hot if it holds more than a HOT-th of an even partition
 
 
@@ -123,10 +123,15 @@ def _compare(radius: int) -> callable:
     return run
 
 
-def near_links(points: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """Links (u < v) whose components are those of all pairs of points (fp, id) within radius bits. fp and id are distinct."""
+def near_links(points: DataFrame, radius: int = RADIUS, tile: int | None = None) -> DataFrame:
+    """Links (u < v) whose components are those of all pairs of points (fp, id) within radius bits. fp and id are distinct.
+
+    Tiles are large, since each travels to all that it meets, but no tile holds more than a share of all fingerprints, so
+    that a common population count doesn't fall to one task.
+    """
     p = F.bit_count("fp")
     sizes = {r["p"]: r["count"] for r in points.groupBy(p.alias("p")).count().collect()}  # 65 rows at most
+    tile = tile or max(1000, min(TILE, sum(sizes.values()) // TILES))
     parts = {k: max(1, -(-n // tile)) for k, n in sizes.items()}
     if not parts:
         return points.sparkSession.createDataFrame([], "u long, v long")
