@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geostrata.functions import quadtree as q
-from geostrata.plans.scratch import written
+from geostrata.plans.scratch import release, written
 
 
 def node_ways(nodes: DataFrame, way_nodes: DataFrame) -> DataFrame:
@@ -18,6 +18,12 @@ def node_ways(nodes: DataFrame, way_nodes: DataFrame) -> DataFrame:
     return nodes.join(used, nodes["id"] == used["node_id"], "left").select("id", F.coalesce("ways", F.array().cast("array<long>")).alias("ways"))
 
 
+def way_range(way_nodes: DataFrame, low: int = 0, high: int = 0) -> DataFrame:
+    """F12. The references of ways from low to below high, for a build in parts; 0 is no upper bound."""
+    out = way_nodes.where(F.col("way_id") >= low) if low else way_nodes
+    return out.where(F.col("way_id") < high) if high else out
+
+
 def missing_way_nodes(nodes: DataFrame, way_nodes: DataFrame) -> DataFrame:
     """J2. References to nodes that aren't there."""
     return way_nodes.join(nodes.select(F.col("id").alias("node_id")), "node_id", "left_anti").select("way_id", "node_id").distinct()
@@ -54,11 +60,12 @@ def relation_quadtrees(relations: DataFrame, rel_members: DataFrame, node_qts: D
     some = m.select("rel_id").distinct().withColumn("some", F.lit(True))
     start = ids.join(direct, "rel_id", "left").join(some, "rel_id", "left").select("rel_id", F.when(F.col("some").isNull(), F.lit(0).cast("long")).otherwise(F.coalesce("qt", F.lit(q.EMPTY).cast("long"))).alias("qt"))
     inner = written(m.where("mem_type = 2 and mem_ref <> rel_id").select("rel_id", "mem_ref"), "relation-links")
-    now = written(start, "relation-cells")
+    last = now = written(start, "relation-cells")
     if not inner.isEmpty():
         while True:
             new = written(_widened(_widened(now.withColumn("was", F.col("qt")), inner), inner), "relation-cells")
-            now = new.select("rel_id", "qt")
+            release(last)
+            last, now = new, new.select("rel_id", "qt")
             if new.where("qt <> was").isEmpty():
                 break
     return now.select(F.col("rel_id").alias("id"), F.greatest("qt", F.lit(0).cast("long")).alias("quadtree"))

@@ -36,6 +36,16 @@ def compare(left: DataFrame, right: DataFrame) -> DataFrame:
     return both.select(F.coalesce("l.elem_type", "r.elem_type").alias("elem_type"), F.coalesce("l.id", "r.id").alias("id"), kind.alias("kind"), F.col("l.user").alias("left_user"), F.col("r.user").alias("right_user"))
 
 
+def lines(left: DataFrame, right: DataFrame, compared: DataFrame) -> DataFrame:
+    """W13. line: a JSON object for each difference but renamed users, by its kind: the element of one side, or both in an array."""
+    key = ["elem_type", "id"]
+    row = lambda df, name: df.select(*key, F.to_json(F.struct(*df.columns)).alias(name))
+    found = compared.where(~F.col("kind").isin("Same", "ChangedUserName")).select(*key, "kind")
+    both = found.join(row(left, "l"), key, "left").join(row(right, "r"), key, "left")
+    said = F.when(F.col("l").isNull(), F.col("r")).when(F.col("r").isNull(), F.col("l")).otherwise(F.concat(F.lit("["), "l", F.lit(","), "r", F.lit("]")))
+    return both.select(*key, F.concat(F.lit('{"'), "kind", F.lit('":'), said, F.lit("}")).alias("line"))
+
+
 def counts(compared: DataFrame) -> DataFrame:
     """A15. All are counted, whatever a report shows."""
     return compared.groupBy("elem_type", "kind").agg(F.count("*").alias("n"))

@@ -91,6 +91,15 @@ def select(nodes: DataFrame, way_nodes: DataFrame, rel_members: DataFrame, box:
     return both.union(typed(relations_of(both, rel_members), 2))
 
 
+def with_members(rows: DataFrame, selected: DataFrame) -> DataFrame:
+    """F11. rows with only the selected members in their relations, in order; a relation may be left with none."""
+    m = rows.where("elem_type = 2").select("id", F.posexplode("members").alias("seq", "m")).select("id", "seq", "m", F.col("m.mem_type").alias("mem_type"), F.col("m.mem_ref").alias("mem_ref"))
+    keys = selected.select(F.col("elem_type").alias("mem_type"), F.col("id").alias("mem_ref"))
+    kept = m.join(keys, ["mem_type", "mem_ref"], "left_semi").groupBy(F.lit(2).alias("elem_type"), "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "m"))), lambda x: x["m"]).alias("_members"))
+    none = F.array().cast(rows.schema["members"].dataType)
+    return rows.join(kept, ["elem_type", "id"], "left").withColumn("members", F.when(F.col("elem_type") == 2, F.coalesce("_members", none)).otherwise(F.col("members"))).select(*rows.columns)
+
+
 def prune_members(rel_members: DataFrame, selected: DataFrame) -> DataFrame:
     """F11. The members that are selected, numbered anew, and how many their relation had."""
     from pyspark.sql import Window

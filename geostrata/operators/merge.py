@@ -31,9 +31,15 @@ def live(rows: DataFrame) -> DataFrame:
     return rows.where(~F.col("changetype").isin(DELETE, REMOVE)).withColumn("changetype", F.lit(NORMAL))
 
 
+def overlay(base: DataFrame, changes: DataFrame, key: list[str] = KEY) -> DataFrame:
+    """Each key's newest change, and the rows of base that no change has. A key is once in base, so only the changes are aggregated; base meets their keys."""
+    last = newest(changes, key)
+    return base.join(last.select(*key), key, "left_anti").select(*base.columns).unionByName(last.select(*base.columns))
+
+
 def apply_changes(base: DataFrame, changes: DataFrame, key: list[str] = KEY) -> DataFrame:
     """U2."""
-    return live(combine(base, changes, key))
+    return live(overlay(base, changes, key))
 
 
 def snapshot(manifest: DataFrame, timestamp: int | None = None) -> DataFrame:
@@ -41,10 +47,11 @@ def snapshot(manifest: DataFrame, timestamp: int | None = None) -> DataFrame:
     return manifest if timestamp is None else manifest.where(F.col("end_date") <= timestamp)
 
 
-def as_of(rows: DataFrame, manifest: DataFrame, timestamp: int | None = None, key: list[str] = KEY) -> DataFrame:
+def as_of(base: DataFrame, changes: DataFrame, manifest: DataFrame, timestamp: int | None = None, key: list[str] = KEY) -> DataFrame:
     """T4, J8, S11. The elements as of a time, from the base and all change files up to it. The manifest is as long as there are files."""
-    files = snapshot(manifest, timestamp).select(F.col("state").alias("seq"))
-    return live(newest(rows.join(F.broadcast(files), "seq", "left_semi"), key))
+    files = F.broadcast(snapshot(manifest, timestamp).select(F.col("state").alias("seq")))
+    then = lambda rows: rows.join(files, "seq", "left_semi").select(*base.columns)
+    return live(overlay(then(base), then(changes), key))
 
 
 def union_ids(*ids: DataFrame) -> DataFrame:

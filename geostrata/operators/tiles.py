@@ -94,6 +94,18 @@ def greedy(tile: np.ndarray, weight: np.ndarray, total: np.ndarray, everything:
     return out
 
 
+def listing(packed: DataFrame) -> DataFrame:
+    """W12. line: 'cell;weight;total' of each tile, with the weight of its subtree's tiles."""
+    own = tile_totals(packed.select("tile", "weight")).join(packed.select("tile"), "tile", "left_semi")
+    return own.select("tile", F.concat_ws(";", "tile", "weight", "total").alias("line"))
+
+
+def read_tiles(rows: DataFrame, hits: DataFrame, most: int = 1000) -> DataFrame:
+    """The rows of some tiles. A few are named in the filter, which reaches the files' row groups (they are clustered by tile); more meet by a join."""
+    few = [r["tile"] for r in hits.limit(most + 1).collect()]
+    return rows.where(F.col("tile").isin(few)) if len(few) <= most else rows.join(small(hits), "tile", "left_semi")
+
+
 def assign(cells: DataFrame, tiles: DataFrame, column: str = "quadtree") -> DataFrame:
     """J7. quadtree and tile: the deepest tile that is the cell or an ancestor, else the root, for each different cell."""
     one = cells.select(F.col(column).alias("quadtree")).where("quadtree >= 0").distinct()

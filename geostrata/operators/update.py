@@ -35,13 +35,16 @@ def extra_nodes(change: DataFrame, change_way_nodes: DataFrame, nodes: DataFrame
     return nodes.join(need.join(held, "id", "left_anti"), "id", "left_semi")
 
 
-def existing(rows: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+def existing(base: DataFrame, changes: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """J13. elem_type, id, quadtree and tile of each element as the files before left it; later files override, a Delete
-    ends it, a Remove only says that it left a tile. rows: elem_type, id, quadtree, tile, changetype, seq."""
-    own = rows.where(F.col("changetype") != REMOVE)
-    if ids is not None:
-        own = own.join(ids, ["elem_type", "id"], "left_semi")
-    last = merge.newest(own.select("elem_type", "id", "quadtree", "tile", "changetype", "seq"), ["elem_type", "id"])
+    ends it, a Remove only says that it left a tile. Both: elem_type, id, quadtree, tile, changetype, seq."""
+    key = ["elem_type", "id"]
+
+    def own(rows: DataFrame) -> DataFrame:
+        rows = rows.where(F.col("changetype") != REMOVE).select(*key, "quadtree", "tile", "changetype", "seq")
+        return rows if ids is None else rows.join(ids, key, "left_semi")
+
+    last = merge.overlay(own(base), own(changes), key)
     return last.where(F.col("changetype") != DELETE).select("elem_type", "id", "quadtree", "tile")
 
 

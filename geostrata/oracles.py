@@ -151,6 +151,9 @@ cmp AS (SELECT 1 AS elem_type, coalesce(l.id, r.id) AS id, l."user" AS left_user
        WHEN list_sort(l.tags) <> list_sort(r.tags) THEN 'DifferentTags' WHEN l.data <> r.data THEN 'DifferentData' WHEN l.quadtree <> r.quadtree THEN 'DifferentQuadtree'
        WHEN l."user" <> r."user" THEN 'ChangedUserName' ELSE 'Same' END AS kind FROM l FULL JOIN r ON l.id = r.id)"""
 
+LOG = f"""{TILED}, {duck('changes')}, {LATEST}, placed AS (SELECT c.elem_type, c.id, c.quadtree, coalesce(a.tile, 0) AS tile FROM cells c LEFT JOIN assigned a ON a.quadtree = c.quadtree),
+log AS (SELECT elem_type, id, quadtree, tile, 0 AS changetype, 0 AS seq FROM placed UNION ALL SELECT l.elem_type, l.id, {rnd('p.quadtree', 'least(3 + l.seq, 18)')}, {rnd(rnd('p.quadtree', 'least(3 + l.seq, 18)'), '4')}, l.changetype, l.seq FROM latest l JOIN placed p ON p.elem_type = l.elem_type AND p.id = l.id)"""
+
 named = lambda columns: ", ".join(f"{v} AS {k}" for k, v in columns.items())
 old_tile = tile_box(0.1, 2.1)
 
@@ -212,7 +215,11 @@ ORACLES = {
     "change_latest_ties": f"{W}{duck('changes')} SELECT seq, elem_type, id, 6 + seq AS version, changetype, pos FROM (SELECT *, row_number() OVER (PARTITION BY seq, elem_type, id ORDER BY pos) AS n FROM changes) WHERE n = 1",
     "change_ids": f"{ONE} SELECT elem_type, id FROM one UNION SELECT 0, node_id FROM way_nodes WHERE way_id IN (SELECT id FROM one WHERE elem_type = 1) UNION SELECT mem_type, mem_ref FROM rel_members WHERE rel_id IN (SELECT id FROM one WHERE elem_type = 2)",
     "extra_nodes": f"{ONE} SELECT id, lon, lat FROM nodes WHERE id IN (SELECT node_id FROM way_nodes WHERE way_id IN (SELECT id FROM one WHERE elem_type = 1 AND changetype <> 1)) AND id NOT IN (SELECT id FROM one WHERE elem_type = 0)",
-    "existing_state": f"{TILED}, {duck('changes')}, {LATEST}, placed AS (SELECT c.elem_type, c.id, c.quadtree, coalesce(a.tile, 0) AS tile FROM cells c LEFT JOIN assigned a ON a.quadtree = c.quadtree), log AS (SELECT elem_type, id, quadtree, tile, 0 AS changetype, 0 AS seq FROM placed UNION ALL SELECT l.elem_type, l.id, {rnd('p.quadtree', '(3 + l.seq)')}, {rnd(rnd('p.quadtree', '(3 + l.seq)'), '4')}, l.changetype, l.seq FROM latest l JOIN placed p ON p.elem_type = l.elem_type AND p.id = l.id WHERE l.seq <= 5) SELECT elem_type, id, quadtree, tile FROM (SELECT *, row_number() OVER (PARTITION BY elem_type, id ORDER BY seq DESC) AS n FROM log) WHERE n = 1 AND changetype <> 1",
+    "existing_state": f"{LOG} SELECT elem_type, id, quadtree, tile FROM (SELECT *, row_number() OVER (PARTITION BY elem_type, id ORDER BY seq DESC) AS n FROM log) WHERE n = 1 AND changetype <> 1",
+    "merge_tiles_asof": f"{LOG}, gone AS (SELECT l.elem_type, l.id, 0 AS quadtree, p.tile, 2 AS changetype, l.seq FROM log l JOIN placed p ON p.elem_type = l.elem_type AND p.id = l.id WHERE l.seq > 0 AND l.changetype <> 1 AND l.tile <> p.tile), {MANIFEST} SELECT tile, elem_type, id, quadtree, seq::BIGINT AS seq FROM (SELECT *, row_number() OVER (PARTITION BY tile, elem_type, id ORDER BY seq DESC) AS n FROM (SELECT * FROM log UNION ALL SELECT * FROM gone) WHERE seq IN (SELECT state FROM manifest WHERE end_date <= {AS_OF})) WHERE n = 1 AND changetype NOT IN (1, 2)",
+    "update_tiles_read": f"{TILED}, {duck('changes')}, {LATEST}, one AS (SELECT * FROM latest WHERE seq = 1), ids AS (SELECT elem_type, id FROM one UNION SELECT 0, node_id FROM way_nodes WHERE way_id IN (SELECT id FROM one WHERE elem_type = 1) UNION SELECT mem_type, mem_ref FROM rel_members WHERE rel_id IN (SELECT id FROM one WHERE elem_type = 2)), hits AS (SELECT DISTINCT tile FROM tiled t JOIN ids i ON i.elem_type = t.elem_type AND i.id = t.id) SELECT tile, elem_type, count(*) AS n FROM tiled WHERE tile IN (FROM hits) GROUP BY tile, elem_type",
+    "extract_members": f"{INSIDE} SELECT r.id, coalesce(string_agg(m.mem_type || ':' || m.mem_ref, ',' ORDER BY m.seq) FILTER (s.id IS NOT NULL), '') AS members FROM rels r LEFT JOIN rel_members m ON m.rel_id = r.id LEFT JOIN selected s ON s.elem_type = m.mem_type AND s.id = m.mem_ref GROUP BY r.id",
+    "way_range": f"{W}{duck('way_nodes')} SELECT way_id, node_id, seq FROM way_nodes WHERE way_id >= 500 AND way_id < 9000",
     "pending_diffs": f"{W}{duck('changes')} SELECT state, {DAY_ONE} + state * 86400 AS timestamp FROM (SELECT DISTINCT seq AS state FROM changes) WHERE state > 12 ORDER BY state LIMIT 5",
     "initial_state": f"{W}{duck('changes')} SELECT max(state) AS state, max(timestamp) AS timestamp FROM (SELECT seq AS state, {DAY_ONE} + seq * 86400 AS timestamp FROM changes) WHERE timestamp <= {AS_OF + 3600}",
     "element_diff": f"{SIDES} SELECT elem_type, id, kind FROM cmp",

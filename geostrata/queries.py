@@ -11,8 +11,8 @@ from geostrata.functions import text
 from geostrata.operators import build, diff, extract, merge, order, summary, tiles, update
 from geostrata.plans.scratch import written
 
-BOX = (-1000000000, -400000000, -600000000, 100000000)
-RING = [(-110.0, -50.0), (-20.0, -50.0), (-20.0, 20.0), (-60.0, -20.0), (-110.0, 20.0), (-80.0, -15.0)]
+BOX = (-1000000000, -585000000, -600000000, -500000000)
+RING = [(-110.0, -59.0), (-20.0, -59.0), (-20.0, -48.0), (-60.0, -54.0), (-110.0, -48.0), (-80.0, -53.5)]
 DEPTH = 7  # of the fixed tile set
 AS_OF = 1705276800  # 2024-01-15
 DAY_ONE = 1704067200  # 2024-01-01: change file n ends n days later
@@ -196,6 +196,11 @@ def unattached_elements(spark, d):
     return build.unattached(build.attach(_elements(spark, d), _all_cells(spark, d)))
 
 
+@query
+def way_range(spark, d):
+    return build.way_range(view(spark, d, "way_nodes"), 500, 9000)
+
+
 @query
 def missing_way_nodes(spark, d):
     some = view(spark, d, "nodes").where("id % 11 <> 3")
@@ -296,6 +301,11 @@ def tile_groups(spark, d):
     return tiles.pack_tiles(tiles.tile_weights(_all_cells(spark, d)), 1000)
 
 
+@query
+def tile_groups_listing(spark, d):
+    return tiles.listing(tiles.pack_tiles(tiles.tile_weights(_all_cells(spark, d)), 1000))
+
+
 @query
 def tile_groups_assign(spark, d):
     cells = _all_cells(spark, d)
@@ -344,6 +354,15 @@ def filter_relations(spark, d):
     return _selected(spark, d).where("elem_type = 2").select("id")
 
 
+@query
+def extract_members(spark, d):
+    """The relations of an extract with the members that it holds."""
+    mem = view(spark, d, "rel_members").groupBy(F.lit(2).alias("elem_type"), F.col("rel_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("seq", "mem_type", "mem_ref"))).alias("members"))
+    chosen = written(_selected(spark, d), "selected")
+    kept = extract.with_members(mem.join(chosen, ["elem_type", "id"], "left_semi"), chosen)
+    return kept.select("id", F.array_join(F.transform("members", lambda m: F.concat_ws(":", m["mem_type"].cast("string"), m["mem_ref"].cast("string"))), ",").alias("members"))
+
+
 @query
 def filter_members(spark, d):
     return extract.prune_members(view(spark, d, "rel_members"), written(_selected(spark, d), "selected"))
@@ -376,7 +395,16 @@ def _manifest(spark, d):
 
 @query
 def merge_asof(spark, d):
-    return merge.as_of(_base(spark, d).unionByName(_changes(spark, d)), _manifest(spark, d), AS_OF, ["elem_type", "id"])
+    return merge.as_of(_base(spark, d), _changes(spark, d), _manifest(spark, d), AS_OF, ["elem_type", "id"])
+
+
+@query
+def merge_tiles_asof(spark, d):
+    """By tile: elements that a change moves leave a Remove in the tile of the base, once."""
+    base, moved = _log(spark, d)
+    old = base.select("elem_type", "id", F.col("tile").alias("was"))
+    gone = moved.join(old, ["elem_type", "id"]).where("was <> tile and changetype <> 1").select("elem_type", "id", F.lit(0).cast("long").alias("quadtree"), F.col("was").alias("tile"), F.lit(merge.REMOVE).alias("changetype"), "seq")
+    return merge.as_of(base, moved.unionByName(gone), _manifest(spark, d), AS_OF).select("tile", "elem_type", "id", "quadtree", "seq")
 
 
 @query
@@ -419,18 +447,27 @@ def extra_nodes(spark, d):
 
 
 def _log(spark, d):
-    """A log of placed rows: the base at each element's cell, and changes 1 to 5 of elements that it holds, at a cell less deep."""
+    """Placed rows: the base at each element's cell, and all changes of elements that it holds, at a cell less deep."""
     cells = _all_cells(spark, d)
     base = tiles.with_tiles(cells, _tiles(spark, d, cells)).select("elem_type", "id", "quadtree", "tile", F.lit(0).alias("changetype"), F.lit(0).cast("long").alias("seq"))
     base = written(base, "base")
-    later = update.latest(view(spark, d, "changes")).where("seq <= 5").select("elem_type", "id", "changetype", "seq")
-    moved = later.join(base.select("elem_type", "id", "quadtree"), ["elem_type", "id"]).withColumn("quadtree", q.round_to("quadtree", 3 + F.col("seq").cast("int")))
-    return base.unionByName(moved.select("elem_type", "id", "quadtree", q.round_to("quadtree", 4).alias("tile"), "changetype", "seq"))
+    later = update.latest(view(spark, d, "changes")).select("elem_type", "id", "changetype", "seq")
+    level = F.least(3 + F.col("seq").cast("int"), F.lit(q.ELEMENT_LEVEL))
+    moved = later.join(base.select("elem_type", "id", "quadtree"), ["elem_type", "id"]).withColumn("quadtree", q.round_to("quadtree", level))
+    return base, moved.select("elem_type", "id", "quadtree", q.round_to("quadtree", 4).alias("tile"), "changetype", "seq")
 
 
 @query
 def existing_state(spark, d):
-    return update.existing(_log(spark, d))
+    return update.existing(*_log(spark, d))
+
+
+@query
+def update_tiles_read(spark, d):
+    """What an update reads: the rows of the tiles that the index gives for all that change file 1 changes or refers to."""
+    placed = written(_tiled(spark, d).select("tile", "elem_type", "id"), "placed")
+    read = tiles.read_tiles(placed, tiles.index_hits(tiles.tile_index(placed), change_ids(spark, d)))
+    return read.groupBy("tile", "elem_type").agg(F.count("*").alias("n"))
 
 
 @query

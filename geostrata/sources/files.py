@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import os
 import re
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -119,6 +121,40 @@ def parse_state(text: str) -> tuple[int, str]:
     return int(got["sequenceNumber"]), got["timestamp"].replace("\\", "")
 
 
+def diff_name(state: int, suffix: str = ".osc.gz") -> str:
+    """Where a state's change file lies below the log's address: 1234567 is 001/234/567.osc.gz."""
+    return f"{state // 1_000_000:03d}/{state // 1000 % 1000:03d}/{state % 1000:03d}{suffix}"
+
+
+def download(prefix: str, target: str, last: int, get: Callable[[str], bytes] | None = None, most: int | None = None) -> list[tuple[int, str]]:
+    """S19. Fetch the change files after the last state into target (N.osc.gz), each whole or not at all, and append
+    'state,timestamp' to its state.csv. The states fetched, with their times."""
+    get, out = get or fetch, []
+    newest, _ = parse_state(get(f"{prefix}state.txt").decode())
+    for state in range(last + 1, newest + 1)[:most]:
+        at = parse_state(get(prefix + diff_name(state, ".state.txt")).decode())[1]
+        with open(f"{target}/{state}.osc.gz.part", "wb") as f:
+            f.write(get(prefix + diff_name(state)))
+        os.replace(f"{target}/{state}.osc.gz.part", f"{target}/{state}.osc.gz")
+        with open(f"{target}/state.csv", "a") as f:
+            f.write(f"{state},{at.rstrip('Z').replace(':', '-')}\n")
+        out.append((state, at))
+    return out
+
+
+def find_initial(prefix: str, timestamp: str, get: Callable[[str], bytes] | None = None) -> int:
+    """S20. The last state that isn't after the time (ISO), by halving; 0 if all are."""
+    get = get or fetch
+    low, high = 0, parse_state(get(f"{prefix}state.txt").decode())[0]
+    while low < high:
+        mid = (low + high + 1) // 2
+        if parse_state(get(prefix + diff_name(mid, ".state.txt")).decode())[1].rstrip("Z") <= timestamp.rstrip("Z"):
+            low = mid
+        else:
+            high = mid - 1
+    return low
+
+
 def fetch(url: str, timeout: float = 60) -> bytes:
     from urllib.request import urlopen
 

@@ -8,13 +8,14 @@ from __future__ import annotations
 
 import lzma
 import os
+import shutil
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
 
 SCHEMA = (
     "elem_type int, id long, changetype int, version long, changeset long, timestamp long, user_id long, user string, tags array<struct<key:string,val:string>>, "
@@ -154,8 +155,12 @@ def frame(kind: str, content: bytes, compression: str = "zlib", level: int | Non
 
 
 # --- blocks -----------------------------------------------------------------------------------------------------------
-def decode(data: bytes, types: set[int] | None = None, ids: set[int] | None = None) -> list[tuple]:
-    """Rows of SCHEMA. types and ids leave out groups and rows before they are decoded further."""
+INFO, HEAVY = ("version", "changeset", "timestamp", "user_id", "user"), ("tags", "refs", "members")
+
+
+def decode(data: bytes, types: set[int] | None = None, ids: set[int] | None = None, columns: set[str] | None = None) -> list[tuple]:
+    """Rows of SCHEMA. types and ids leave out groups and rows before they are decoded further; of info, tags, refs and members only the columns named are decoded."""
+    skip = frozenset() if columns is None else frozenset(c for c in HEAVY if c not in columns) | (frozenset() if columns & set(INFO) else {"info"})
     strings: list[str] = []
     groups, tile = [], None
     for field, v in fields(data):
@@ -177,7 +182,7 @@ def decode(data: bytes, types: set[int] | None = None, ids: set[int] | None = No
             kind = {1: 0, 2: 0, 3: 1, 4: 2}.get(k)
             if kind is None or (types is not None and kind not in types):
                 continue
-            rows += _dense(v, strings, change, tile, ids) if k == 2 else _single(v, kind, strings, change, tile, ids)
+            rows += _dense(v, strings, change, tile, ids, skip) if k == 2 else _single(v, kind, strings, change, tile, ids, skip)
     return rows
 
 
@@ -185,33 +190,34 @@ def _tags(keys, vals, strings) -> list[dict]:
     return [{"key": strings[a], "val": strings[b]} for a, b in zip(keys, vals, strict=True)]
 
 
-def _single(data: bytes, kind: int, strings: list[str], change: int, tile, ids) -> list[tuple]:
+def _single(data: bytes, kind: int, strings: list[str], change: int, tile, ids, skip) -> list[tuple]:
     got = dict(fields(data))
     own = signed(got[1]) if kind == 0 else got[1]
     if ids is not None and own not in ids:
         return []
     numbers = lambda k: packed(got[k]).tolist() if k in got else []
-    info = dict(fields(got[4])) if 4 in got else {}
+    info = dict(fields(got[4])) if 4 in got and "info" not in skip else {}
     who = (info.get(1), info.get(3), info.get(2), info.get(4), strings[info[5]] if 5 in info else None) if info else (None,) * 5
     lat, lon = (signed(got[8]), signed(got[9])) if kind == 0 else (None, None)
-    refs = deltas(got[8]).tolist() if kind == 1 and 8 in got else [] if kind == 1 else None
+    refs = None if kind != 1 or "refs" in skip else deltas(got[8]).tolist() if 8 in got else []
     members = None
-    if kind == 2:
+    if kind == 2 and "members" not in skip:
         members = [{"role": strings[r], "mem_type": t, "mem_ref": m} for r, m, t in zip(numbers(8), deltas(got.get(9, b"")).tolist(), numbers(10), strict=True)]
     qt = signed(got[20]) if 20 in got else None
-    return [(kind, own, change, *who, _tags(numbers(2), numbers(3), strings), lon, lat, refs, members, qt, tile)]
+    tags = [] if "tags" in skip else _tags(numbers(2), numbers(3), strings)
+    return [(kind, own, change, *who, tags, lon, lat, refs, members, qt, tile)]
 
 
-def _dense(data: bytes, strings: list[str], change: int, tile, ids) -> list[tuple]:
+def _dense(data: bytes, strings: list[str], change: int, tile, ids, skip) -> list[tuple]:
     got = dict(fields(data))
     own = deltas(got.get(1, b""))
     n = len(own)
     lat, lon = deltas(got.get(8, b"")), deltas(got.get(9, b""))
-    info = dict(fields(got[5])) if 5 in got else {}
+    info = dict(fields(got[5])) if 5 in got and "info" not in skip else {}
     column = lambda k, f: f(info[k]).tolist() if k in info else [None] * n
     version, stamp, changeset, uid, sid = column(1, packed), column(2, deltas), column(3, deltas), column(4, deltas), column(5, deltas)
     qts = deltas(got[20]).tolist() if 20 in got else [None] * n
-    text = packed(got[10]).tolist() if 10 in got else [0] * n
+    text = packed(got[10]).tolist() if 10 in got and "tags" not in skip else [0] * n
     out, at = [], 0
     for i, node in enumerate(own.tolist()):
         end = text.index(0, at)
@@ -274,9 +280,101 @@ def _pack_single(r: dict, strings: _Strings) -> bytes:
     return out + (number(20, zigzag(r["quadtree"])) if r.get("quadtree") is not None else b"")
 
 
-def header(writer: str = "geostrata", sorted_: bool = False, state: int | None = None, timestamp: int | None = None) -> bytes:
-    out = b"".join(message(4, s.encode()) for s in ("OsmSchema-V0.6", "DenseNodes")) + (message(5, b"Sort.Type_then_ID") if sorted_ else b"") + message(16, writer.encode())
-    return out + (number(32, timestamp) if timestamp is not None else b"") + (number(33, state) if state is not None else b"")
+PLANET = (-1800000000, -900000000, 1800000000, 900000000)
+
+
+def header(writer: str = "geostrata", sorted_: bool = False, state: int | None = None, timestamp: int | None = None, bbox: tuple[int, int, int, int] | None = None, index: list[tuple[int, int, bool]] | None = None, url: str | None = None) -> bytes:
+    """A header block. index: (tile, length of its frame, whether it is of changes) of each data frame in order."""
+    out = b""
+    if bbox:
+        minlon, minlat, maxlon, maxlat = bbox
+        out += message(1, b"".join(number(k, zigzag(v * 100)) for k, v in enumerate((minlon, maxlon, maxlat, minlat), 1)))
+    out += b"".join(message(4, s.encode()) for s in ("OsmSchema-V0.6", "DenseNodes")) + (message(5, b"Sort.Type_then_ID") if sorted_ else b"") + message(16, writer.encode())
+    for tile, length, change in index or ():
+        out += message(22, (number(2, 1) if change else b"") + number(3, zigzag(length)) + number(4, zigzag(tile)))
+    out += (number(32, timestamp) if timestamp is not None else b"") + (number(33, state) if state is not None else b"")
+    return out + (message(34, url.encode()) if url else b"")
+
+
+def parse_header(data: bytes, end: int = 0, path: str = "") -> dict:
+    """A header block's content. end: where its frame ends, from which an index within it counts; path: the file, whose name
+    begins that of an index beside it (rows of tile, position, length in JSON). index: (tile, position, length, change)."""
+    import json
+
+    out: dict = {"bbox": None, "required": [], "optional": [], "writer": None, "source": None, "timestamp": None, "state": None, "url": None, "index": []}
+    for field, v in fields(data):
+        if field == 1:
+            b = {k: signed(x) // 100 for k, x in fields(v)}
+            out["bbox"] = (b[1], b[4], b[2], b[3])
+        elif field in (4, 5):
+            out["required" if field == 4 else "optional"].append(v.decode())
+        elif field in (16, 17, 34):
+            out[{16: "writer", 17: "source", 34: "url"}[field]] = v.decode()
+        elif field in (32, 33):
+            out["timestamp" if field == 32 else "state"] = v
+        elif field == 22:
+            item = dict(fields(v))
+            length = signed(item[3])
+            out["index"].append((_item_tile(item), end, length, bool(item.get(2))))
+            end += length
+        elif field == 23:
+            with open(path + v.decode()) as f:
+                out["index"] += [(tile, at, length, False) for tile, at, length in json.load(f)]
+        else:
+            raise PbfError(f"unknown field {field} in a header")
+    return out
+
+
+def _item_tile(item: dict) -> int:
+    """An index item's tile: a number, or, as older files have it, x, y and z."""
+    if 4 in item:
+        return signed(item[4])
+    x, y, z = (dict(fields(item[1])).get(k, 0) for k in (1, 2, 3))
+    qt = 0
+    for k in range(z):
+        at = z - 1 - k
+        qt |= ((x >> at & 1) | (y >> at & 1) << 1) << (61 - 2 * k)
+    return qt + z
+
+
+def read_header(path: str) -> dict | None:
+    """The header of a file, if it begins with one."""
+    with open(path, "rb") as f:
+        for _, kind, start, size in frames(f):
+            f.seek(start)
+            return parse_header(unblob(f.read(size)), start + size, path) if kind == "OSMHeader" else None
+    return None
+
+
+# --- files of cells ---------------------------------------------------------------------------------------------------
+def encode_cells(rows: list[tuple[int, int, int]]) -> bytes:
+    """A block of (elem_type, id, quadtree): dense nodes with ids and cells alone, ways and relations likewise."""
+    nodes = [r for r in rows if r[0] == 0]
+    groups = [message(2, run(1, [r[1] for r in nodes], True, True) + run(20, [r[2] for r in nodes], True, True))] if nodes else []
+    for kind in (1, 2):
+        own = b"".join(message(2 + kind, number(1, r[1]) + number(20, zigzag(r[2]))) for r in rows if r[0] == kind)
+        groups += [own] if own else []
+    return message(1, message(1, b"")) + b"".join(message(2, g) for g in groups)
+
+
+def decode_cells(data: bytes) -> list[tuple[int, int, int]]:
+    """(elem_type, id, quadtree) of a block; nothing else is decoded. An element without either is an error."""
+    out = []
+    for field, g in fields(data):
+        if field != 2:
+            continue
+        for k, v in fields(g):
+            got = dict(fields(v)) if k in (1, 2, 3, 4) else {}
+            if k == 2:
+                ids, cells = deltas(got.get(1, b"")).tolist(), deltas(got.get(20, b"")).tolist()
+                if not ids or len(ids) != len(cells):
+                    raise PbfError("ids and cells of nodes don't match")
+                out += [(0, i, c) for i, c in zip(ids, cells, strict=True)]
+            elif k in (1, 3, 4):
+                if 1 not in got or 20 not in got:
+                    raise PbfError("an element without id or cell")
+                out.append(({1: 0, 3: 1, 4: 2}[k], got[1], signed(got[20])))
+    return out
 
 
 # --- Spark ------------------------------------------------------------------------------------------------------------
@@ -289,22 +387,27 @@ class PbfReader(DataSourceReader):
     def __init__(self, options: dict):
         self.paths = [p for p in options["path"].split(",") if p]
         self.size = int(options.get("partitionbytes", 64 << 20))
-        self.types: set[int] | None = None
+        self.cells = options.get("cells") == "true"
+        self.columns = set(options["columns"].split(",")) if options.get("columns") else None
+        self.wanted: dict[str, set[int] | None] = {"elem_type": None, "id": None, "tile": None}
 
     def pushFilters(self, filters):
-        """elem_type = n reaches the decoder: groups of other types are skipped. Spark checks again."""
+        """Equal or in: types and ids reach the decoder, which skips other groups and rows; tiles leave frames out where the file has an index. Spark checks again."""
         for f in filters:
-            if isinstance(f, EqualTo) and f.attribute == ("elem_type",):
-                self.types = {f.value}
+            if isinstance(f, (EqualTo, In)) and f.attribute[0] in self.wanted and len(f.attribute) == 1:
+                own = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                before = self.wanted[f.attribute[0]]
+                self.wanted[f.attribute[0]] = own if before is None else before & own
             yield f
 
     def partitions(self):
         out = []
         for path in self.paths:
             own: list[tuple[int, int]] = []
-            total = 0
+            total, tiles = 0, self.wanted["tile"]
+            index = (read_header(path) or {}).get("index") if tiles is not None else None
             with open(path, "rb") as f:
-                for _, kind, start, size in frames(f):
+                for _, kind, start, size in self._indexed(f, index, tiles) if index else frames(f):
                     if kind == "OSMData":
                         own.append((start, size))
                         total += size
@@ -315,11 +418,22 @@ class PbfReader(DataSourceReader):
                 out.append(Frames(path, own))
         return out
 
+    @staticmethod
+    def _indexed(f, index, tiles):
+        """Frames of the wanted tiles, found by the index."""
+        for tile, position, _, _ in index:
+            if tile in tiles:
+                f.seek(position)
+                yield next(frames(f))
+
     def read(self, partition):
         with open(partition.path, "rb") as f:
             for start, size in partition.spans:
                 f.seek(start)
-                for r in decode(unblob(f.read(size)), self.types):
+                if self.cells:
+                    yield from decode_cells(unblob(f.read(size)))
+                    continue
+                for r in decode(unblob(f.read(size)), self.wanted["elem_type"], self.wanted["id"], self.columns):
                     yield (*r[:8], [tuple(t.values()) for t in r[8]], *r[9:12], None if r[12] is None else [tuple(m.values()) for m in r[12]], *r[13:])
 
 
@@ -331,24 +445,27 @@ class PbfSource(DataSource):
         return "mappbf"
 
     def schema(self):
-        return SCHEMA
+        return "elem_type int, id long, quadtree long" if self.options.get("cells") == "true" else SCHEMA
 
     def reader(self, schema):
         return PbfReader(self.options)
 
 
-def read(spark, *paths: str, partition_bytes: int = 64 << 20) -> DataFrame:
+def read(spark, *paths: str, partition_bytes: int = 64 << 20, columns: list[str] | None = None, cells: bool = False) -> DataFrame:
+    """Rows of map files. columns: of info, tags, refs and members, only those named are decoded, others are null (Spark tells Python sources no columns). cells: elem_type, id and quadtree alone."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(PbfSource)
-    return spark.read.format("mappbf").option("partitionBytes", str(partition_bytes)).load(",".join(paths))
+    return spark.read.format("mappbf").option("partitionBytes", str(partition_bytes)).option("cells", str(cells).lower()).option("columns", ",".join(columns or ())).load(",".join(paths))
 
 
-def write(df: DataFrame, path: str, block: int = 8000, compression: str = "zlib", level: int | None = None, as_change: bool = False) -> int:
-    """df (rows of SCHEMA) as files in the folder path, one for each partition in its order; the number of blocks.
+def write(df: DataFrame, path: str, block: int = 8000, compression: str = "zlib", level: int | None = None, as_change: bool = False, index: bool = True, **about) -> int:
+    """df (rows of SCHEMA, or elem_type, id and quadtree alone) as files in the folder path, one for each partition in its order; the number of blocks.
 
-    The folder must be one that all executors mount. Each file is written under another name first, so a task that runs
-    twice leaves one whole file.
+    index: the header lists each block's tile and length where rows have tiles. about: further fields of header(). The
+    folder must be one that all executors mount. Each file is written under another name first, so a task that runs twice
+    leaves one whole file.
     """
+    cells = set(df.columns) == {"elem_type", "id", "quadtree"}
     os.makedirs(path, exist_ok=True)
 
     def save(rows):
@@ -356,21 +473,28 @@ def write(df: DataFrame, path: str, block: int = 8000, compression: str = "zlib"
 
         task = TaskContext.get()
         name = f"{path}/part-{task.partitionId():05d}.osm.pbf"
-        n, own = 0, []
-        with open(f"{name}.{task.taskAttemptId()}", "wb") as f:
-            f.write(frame("OSMHeader", header(), compression, level))
-            tile = object()
+        own, items, tile = [], [], None
+        with open(f"{name}.{task.taskAttemptId()}.data", "w+b") as data, open(f"{name}.{task.taskAttemptId()}", "wb") as f:
+
+            def flush() -> None:
+                content = encode_cells([(d["elem_type"], d["id"], d["quadtree"]) for d in own]) if cells else encode(own, tile, as_change)
+                items.append((tile, data.write(frame("OSMData", content, compression, level)), as_change))
+                own.clear()
+
             for r in rows:
                 d = r.asDict(recursive=True)
                 if own and (len(own) >= block or d.get("tile") != tile):
-                    f.write(frame("OSMData", encode(own, tile, as_change), compression, level))
-                    own, n = [], n + 1
+                    flush()
                 tile = d.get("tile")
                 own.append(d)
             if own:
-                f.write(frame("OSMData", encode(own, tile, as_change), compression, level))
-                n += 1
+                flush()
+            known = index and all(t is not None for t, _, _ in items)
+            f.write(frame("OSMHeader", header(index=items if known else None, **about), compression, level))
+            data.seek(0)
+            shutil.copyfileobj(data, f)
+        os.remove(data.name)
         os.replace(f.name, name)
-        yield n
+        yield len(items)
 
     return sum(df.rdd.mapPartitions(save).collect())

@@ -13,28 +13,31 @@ from geostrata.sources.files import Manifest
 SCHEMA = "seq long, elem_type int, id long, changetype int, version long, timestamp long, pos long"
 
 
-def apply_pending(states: list[int], manifest: Manifest, plan: Callable[[int], int], end_date: Callable[[int], str], most: int | None = None, demo: bool = False) -> list[int]:
+def apply_pending(states: list[int], manifest: Manifest, plan: Callable[[int], int], end_date: Callable[[int], str], most: int | None = None, demo: bool = False, save: Callable[[Manifest], None] | None = None) -> list[int]:
     """T1, T3. Plan each pending state in order, so that each sees those before it; plan(state) writes its tiles and
-    returns how many. A state at or before the last one is never read again. demo leaves the manifest alone."""
+    returns how many. A state at or before the last one is never read again; save gets the manifest after each, so a
+    state that fails forgets none before it. demo leaves the manifest alone."""
     done = []
     for state in sorted(s for s in states if s > manifest.last_state)[:most]:
         n = plan(state)
         if not demo:
             manifest.append(f"{state}.parquet", end_date(state), n, state)
+            if save:
+                save(manifest)
         done.append(state)
     return done
 
 
-def stream_latest(spark: SparkSession, folder: str, target: str, checkpoint: str):
-    """Change files as they arrive in folder (parquet of SCHEMA): the latest versions of each, written under its number.
-
-    A micro-batch that runs again overwrites the same partitions, so every state is applied once. Returns the query.
+def stream_latest(spark: SparkSession, folder: str, target: str, checkpoint: str, files_per_batch: int = 16):
+    """Change files as they arrive in folder (parquet of SCHEMA): the latest versions of each in a micro-batch, in a folder
+    of that batch. Files of one state may come in many batches: current() settles them. A batch that runs again
+    overwrites its own folder, so every row is applied once. Returns the query.
     """
 
-    def write(batch: DataFrame, _: int) -> None:
-        update.latest(batch).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("seq").parquet(target)
+    def write(batch: DataFrame, number: int) -> None:
+        update.latest(batch).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
-    source = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 16).parquet(folder)
+    source = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
     return source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
@@ -43,5 +46,5 @@ def current(spark: SparkSession, target: str, base: DataFrame) -> DataFrame:
     from geostrata.operators import merge
 
     columns = ["elem_type", "id", "changetype", "version", "timestamp", "seq"]
-    later = spark.read.parquet(target).select(*columns[:5], F.col("seq").cast("long").alias("seq"))
-    return merge.live(merge.newest(base.withColumn("seq", F.lit(0).cast("long")).select(*columns).unionByName(later), ["elem_type", "id"]))
+    later = update.latest(spark.read.schema(SCHEMA).parquet(target)).select(*columns)
+    return merge.apply_changes(base.withColumn("seq", F.lit(0).cast("long")).select(*columns), later, ["elem_type", "id"])

@@ -80,10 +80,56 @@ def test_merging_keeps_the_newest_of_each_tile(spark):
     base = spark.createDataFrame([(1, 0, 1, 0, 0), (1, 0, 2, 0, 0)], s)
     change = spark.createDataFrame([(1, 0, 1, 2, 1), (2, 0, 1, 4, 1), (1, 0, 2, 1, 2), (1, 0, 2, 5, 3)], s)
     m = spark.createDataFrame([(0, 10), (1, 20), (2, 30), (3, 40)], "state long, end_date long")
-    at = lambda ts: {(r["tile"], r["id"]) for r in merge.as_of(base.union(change), m, ts).collect()}
+    at = lambda ts: {(r["tile"], r["id"]) for r in merge.as_of(base, change, m, ts).collect()}
     assert at(10) == {(1, 1), (1, 2)} and at(20) == {(2, 1), (1, 2)} and at(39) == {(2, 1)} and at(None) == {(2, 1), (1, 2)}
 
 
+def test_the_base_is_neither_sorted_nor_aggregated(spark):
+    s = "tile long, elem_type int, id long, changetype int, seq long"
+    base, change = (spark.range(1000).selectExpr("id % 7 as tile", "0 as elem_type", "id", f"{k} as changetype", f"cast({k} as long) as seq") for k in (0, 4))
+    plan = merge.apply_changes(base, change.where("id < 10").limit(5))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortAggregate") <= 2 and "LeftAnti" in plan
+    assert merge.apply_changes(spark.createDataFrame([], s), spark.createDataFrame([], s)).collect() == []
+
+
+def test_existing_state_reads_changes_over_the_base(spark):
+    s = "elem_type int, id long, quadtree long, tile long, changetype int, seq long"
+    base = spark.createDataFrame([(0, k, 10 + k, 1, 0, 0) for k in range(6)], s)
+    log = spark.createDataFrame([(0, 1, 0, 1, 2, 1), (0, 1, 50, 2, 4, 1), (0, 2, 0, 1, 1, 1), (0, 3, 60, 2, 4, 1), (0, 3, 70, 3, 4, 2), (0, 9, 80, 2, 5, 2), (0, 4, 0, 1, 2, 3)], s)
+    got = {(r["id"], r["quadtree"], r["tile"]) for r in update.existing(base, log).collect()}
+    assert got == {(0, 10, 1), (1, 50, 2), (3, 70, 3), (4, 14, 1), (5, 15, 1), (9, 80, 2)}
+    ids = spark.createDataFrame([(0, 3), (0, 5), (0, 7)], "elem_type int, id long")
+    assert {r["id"] for r in update.existing(base, log, ids).collect()} == {3, 5}
+
+
+def test_an_update_reads_the_tiles_of_the_index_alone(spark, tmp_path):
+    rows = spark.range(10_000).selectExpr("id div 100 as tile", "cast(0 as int) as elem_type", "id")
+    tiles.cluster(rows, 10).write.parquet(f"{tmp_path}/base")
+    base = spark.read.parquet(f"{tmp_path}/base")
+    ids = spark.createDataFrame([(0, 5), (0, 5050), (0, 77777)], "elem_type int, id long")
+    hits = tiles.index_hits(tiles.tile_index(base), ids)
+    read = tiles.read_tiles(base, hits)
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "In(tile" in plan and "Join" not in plan
+    assert {r["tile"] for r in read.collect()} == {0, 50} and read.count() == 200
+    assert sorted(map(tuple, tiles.read_tiles(base, hits, most=1).collect())) == sorted(map(tuple, read.collect()))
+
+
+def test_relations_of_an_extract_hold_its_members_alone(spark):
+    rows = spark.createDataFrame([(2, 1, [("a", 0, 5), ("b", 1, 6), ("c", 0, 5)]), (2, 2, [("x", 2, 9)]), (2, 3, None), (0, 5, None)], "elem_type int, id long, members array<struct<role:string,mem_type:int,mem_ref:long>>")
+    out = {(r["elem_type"], r["id"]): r["members"] and [tuple(m) for m in r["members"]] for r in extract.with_members(rows, spark.createDataFrame([(0, 5), (2, 1)], "elem_type int, id long")).collect()}
+    assert out == {(2, 1): [("a", 0, 5), ("c", 0, 5)], (2, 2): [], (2, 3): [], (0, 5): None}
+
+
+def test_listing_and_way_ranges(spark):
+    packed = spark.createDataFrame([(0, 5), ((1 << 61) + 1, 7), ((1 << 61) + (1 << 59) + 2, 9)], "tile long, weight long")
+    got = {r["line"] for r in tiles.listing(packed).collect()}
+    assert got == {"0;5;21", f"{(1 << 61) + 1};7;16", f"{(1 << 61) + (1 << 59) + 2};9;9"}
+    wn = way_nodes(spark, w1=[1], w5=[2], w9=[3])
+    ids = lambda *a: sorted(r["way_id"] for r in build.way_range(wn, *a).collect())
+    assert ids() == [1, 5, 9] and ids(5) == [5, 9] and ids(0, 5) == [1] and ids(2, 9) == [5]
+
+
 def test_latest_versions_and_their_ties(spark):
     c = spark.createDataFrame([(1, 0, 7, 2, 4, 0), (1, 0, 7, 3, 4, 1), (1, 0, 7, 3, 1, 2), (1, 0, 8, None, 4, 3), (2, 0, 7, 1, 4, 4)], "seq long, elem_type int, id long, version long, changetype int, pos long")
     assert sorted((r["seq"], r["id"], r["pos"]) for r in update.latest(c).collect()) == [(1, 7, 1), (1, 8, 3), (2, 7, 4)]
@@ -107,6 +153,11 @@ def test_differences(spark):
     c = diff.compare(left, right)
     assert dict((r["id"], r["kind"]) for r in c.collect()) == {1: "ChangedUserName", 2: "DifferentInfo", 3: "OnlyLeft", 4: "DifferentData", 5: "OnlyRight"}
     assert [tuple(r) for r in diff.renamed_users(c).collect()] == [("u", "v")]
+    import json
+
+    lines = {r["id"]: json.loads(r["line"]) for r in diff.lines(left, right, c).collect()}
+    assert set(lines) == {2, 3, 4, 5} and lines[3]["OnlyLeft"]["tags"] == [{"key": "a", "val": "1"}, {"key": "b", "val": "2"}] and lines[5]["OnlyRight"]["id"] == 5
+    assert [x["version"] for x in lines[2]["DifferentInfo"]] == [1, 2] and [x["data"] for x in lines[4]["DifferentData"]] == ["x", "y"]
     assert diff.report(c, 2).count() == 2 and diff.counts(c).agg(F.sum("n")).first()[0] == 5
 
 
@@ -140,6 +191,43 @@ def test_pbf_round_trip(spark, tmp_path, compression):
     assert back.where("elem_type = 1").count() == 2
 
 
+def test_headers_and_indexes(spark, tmp_path):
+    import json
+
+    rows = [(0, k, 0, 1, 1, 1, 1, "u", [("k", "v")], k, k, None, None, None, k // 10) for k in range(1, 60)]
+    df = spark.createDataFrame(rows, pbf.SCHEMA).coalesce(1)
+    assert pbf.write(df, str(tmp_path), 100, bbox=pbf.PLANET, state=7, timestamp=1000, url="https://x/", sorted_=True) == 6
+    (name,) = [f"{tmp_path}/{f}" for f in os.listdir(tmp_path) if f.endswith(".pbf")]
+    head = pbf.read_header(name)
+    assert (head["bbox"], head["state"], head["timestamp"], head["url"], head["writer"], head["optional"]) == (pbf.PLANET, 7, 1000, "https://x/", "geostrata", ["Sort.Type_then_ID"])
+    with open(name, "rb") as f:
+        at = [(p, s + n - p) for p, kind, s, n in pbf.frames(f) if kind == "OSMData"]
+    assert [(t, p, n) for t, p, n, _ in head["index"]] == [(k, *x) for k, x in enumerate(at)] and not any(x[3] for x in head["index"])
+    back = pbf.read(spark, name, partition_bytes=1)
+    assert back.where("tile in (1, 4)").count() == 20 and back.where("tile = 2").rdd.getNumPartitions() == 1 and back.where("id in (3, 44)").count() == 2
+    few = pbf.read(spark, name, columns=["refs"]).first()
+    assert few["tags"] == [] and few["user"] is None and few["lon"] == few["id"]
+    reader = pbf.PbfReader({"path": name, "partitionbytes": "1"})
+    list(reader.pushFilters([pbf.In(("tile",), (1, 4))]))
+    assert [p.spans for p in reader.partitions()] == [[(s, n)] for k, (s, n) in enumerate([(s, n) for p, kind, s, n in pbf.frames(open(name, "rb")) if kind == "OSMData"]) if k in (1, 4)]
+    with open(f"{name}-filelocs.json", "w") as f:
+        json.dump([[5, 100, 20]], f)
+    assert pbf.parse_header(pbf.message(23, b"-filelocs.json"), 0, name)["index"] == [(5, 100, 20, False)]
+    old = pbf.message(22, pbf.message(1, pbf.number(1, 1) + pbf.number(2, 0) + pbf.number(3, 1)) + pbf.number(3, pbf.zigzag(9)))
+    assert pbf.parse_header(old, 50)["index"] == [((1 << 61) + 1, 50, 9, False)]
+    with pytest.raises(pbf.PbfError):
+        pbf.parse_header(pbf.number(77, 1))
+
+
+def test_files_of_cells(spark, tmp_path):
+    df = spark.createDataFrame([(0, 5, 77), (0, 6, -2), (1, 5, 0), (2, 9, 1 << 61)], "elem_type int, id long, quadtree long").coalesce(1)
+    assert pbf.write(df, str(tmp_path)) == 1
+    (name,) = [f"{tmp_path}/{f}" for f in os.listdir(tmp_path) if f.endswith(".pbf")]
+    assert sorted(map(tuple, pbf.read(spark, name, cells=True).collect())) == sorted(map(tuple, df.collect()))
+    with pytest.raises(pbf.PbfError):
+        pbf.decode_cells(pbf.message(2, pbf.message(3, pbf.number(1, 5))))
+
+
 def test_pbf_refuses_what_it_cannot_read():
     with pytest.raises(pbf.PbfError, match="brotli"):
         pbf.unblob(pbf.message(8, b"x"))
@@ -164,6 +252,24 @@ def test_change_files(spark, tmp_path, packed):
     assert out[1, 2]["refs"] == [1, 5] and out[2, 3]["members"][0].asDict() == {"role": "r", "mem_type": 1, "mem_ref": 2} and len(out[2, 3]["tags"]) == 2
 
 
+@pytest.mark.parametrize("odd", ["<node id='1' colour='x'/>", "<node id='1'><nd ref='2'/></node>", "<area id='1'/>", "<node id='1'>text</node>", "<relation id='1'><member type='area' ref='1' role=''/></relation>", "<way id='1'><nd/></way>", "<node/>", "<node id='1'><tag k='x'/></node>"])
+def test_change_files_with_unknown_parts_are_errors(odd):
+    with pytest.raises(osc.OscError):
+        osc.check(f"<osmChange><create>{odd}</create></osmChange>".encode())
+    assert osc.check(OSC.encode()) == 4 == osc.check(gzip.compress(OSC.encode()))
+
+
+def test_replication(tmp_path):
+    times = {k: f"2024-01-{k:02d}T00:00:00Z" for k in range(1, 10)}
+    said = lambda k: f"sequenceNumber={k}\ntimestamp={times[k]}\n".replace(":", "\\:").encode()
+    pages = {"p/state.txt": said(9)} | {"p/" + files.diff_name(k, ".state.txt"): said(k) for k in times} | {"p/" + files.diff_name(k): b"data%d" % k for k in times}
+    assert files.diff_name(1234567) == "001/234/567.osc.gz"
+    assert [s for s, _ in files.download("p/", str(tmp_path), 6, pages.__getitem__)] == [7, 8, 9]
+    assert (tmp_path / "8.osc.gz").read_bytes() == b"data8" and (tmp_path / "state.csv").read_text().splitlines()[0] == "7,2024-01-07T00-00-00"
+    assert sorted(os.listdir(tmp_path)) == ["7.osc.gz", "8.osc.gz", "9.osc.gz", "state.csv"] and files.download("p/", str(tmp_path), 9, pages.__getitem__) == []
+    assert [files.find_initial("p/", t, pages.__getitem__) for t in ("2024-01-03T12:00:00", "2024-01-04T00:00:00Z", "2023-01-01T00:00:00", "2025-01-01T00:00:00")] == [3, 4, 0, 9]
+
+
 def test_the_log_is_applied_in_order(spark, tmp_path):
     m = files.Manifest([{"Filename": "base", "EndDate": "2024-01-01T00:00:00", "NumTiles": 1, "State": 0}])
     seen = []
@@ -172,6 +278,17 @@ def test_the_log_is_applied_in_order(spark, tmp_path):
     assert updates.apply_pending([1, 3], m, plan, str, demo=True) == [3] and m.last_state == 2
     m.drop_last()
     assert m.last_state == 1 and seen == [1, 2, 3]
+    saved = []
+
+    def failing(state):
+        if state == 4:
+            raise RuntimeError("state 4")
+        return 1
+
+    with pytest.raises(RuntimeError):
+        updates.apply_pending([2, 3, 4], m, failing, str, save=lambda x: saved.append(x.last_state))
+    assert saved == [2, 3]
+    m.drop_last(2)
     m.save(f"{tmp_path}/f.json")
     assert files.Manifest.load(f"{tmp_path}/f.json") == m
     s = files.Settings(MaxQtLevel=17)
@@ -193,5 +310,29 @@ def test_streams_give_the_same_as_batches(spark, tmp_path):
     assert {r["id"] for r in updates.current(spark, f"{tmp_path}/out", base).collect()} == {8, 9}
 
 
+def test_files_of_a_state_may_come_in_many_batches(spark, tmp_path):
+    """Each file is a batch of its own; the state of all elements is that of all rows at once, also after a replay."""
+    import random
+    import shutil
+
+    rng = random.Random(3)
+    rows = [(rng.randint(1, 3), 0, rng.randrange(12), rng.choice([1, 4, 5]), rng.randint(1, 6), k, k) for k in range(60)]
+    for k in range(6):
+        spark.createDataFrame(rows[10 * k : 10 * k + 10], updates.SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        updates.stream_latest(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/check", 1).awaitTermination(60)
+    base = spark.createDataFrame([(0, k, 0, 1, 1) for k in range(15)], "elem_type int, id long, changetype int, version long, timestamp long")
+    whole = update.latest(spark.createDataFrame(rows, updates.SCHEMA)).select("elem_type", "id", "changetype", "version", "timestamp", "seq")
+    want = sorted(map(tuple, merge.apply_changes(base.withColumn("seq", F.lit(0).cast("long")), whole, ["elem_type", "id"]).collect()))
+    now = lambda: sorted(map(tuple, updates.current(spark, f"{tmp_path}/out", base).collect()))
+    assert now() == want and len(os.listdir(f"{tmp_path}/out")) == 6
+    last = sorted(os.listdir(f"{tmp_path}/check/commits"))[-1]
+    for name in (last, f".{last}.crc"):
+        if os.path.exists(f"{tmp_path}/check/commits/{name}"):
+            os.remove(f"{tmp_path}/check/commits/{name}")
+    shutil.rmtree(f"{tmp_path}/out/batch=5")
+    updates.stream_latest(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/check", 1).awaitTermination(60)
+    assert now() == want
+
+
 def test_root_is_an_ancestor_of_all(spark):
     assert spark.range(1).select(q.is_parent(F.lit(0).cast("long"), F.lit((3 << 61) + 1))).first()[0]
