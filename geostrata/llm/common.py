@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geostrata.plans.scratch import release, written
+
+__all__ = ["SPACE", "free_prefix", "release", "table", "texts", "written"]
+
 #: White space that separates words: space, and tab to carriage return.
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -22,36 +22,6 @@ def texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     return docs.select(F.col(key).cast("long").alias(key), F.coalesce(F.col(text), F.lit("")).alias(text))
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; only where the session names none, one of our own (local runs, tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="geostrata-")
-        spark.conf.set("spark.checkpoint.dir", found)
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df in the shared folder and read it back. The files go when the driver ends."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # noqa: BLE001  the session has ended: nothing is left to ask
-        pass
-
-
 def free_prefix(*tables: DataFrame) -> str:
     """A prefix that no column of the tables has, in any case: names of our own that can't clash with theirs."""
     out = "__"

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geostrata.llm.common import written
+from geostrata.llm.common import release, written
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -163,15 +163,17 @@ def promoted(graph: DataFrame, precision: float, support: int, agree: int) -> Da
     links = written(weighed(graph), "links")
     seeds = links.where("seed").select("k", "inst", "hot_inst").distinct()
     open_ = links.where("not seed")
-    accepted, size = seeds, -1
+    accepted, size, spent = seeds, -1, []
     while True:
         held = _semi(links, accepted, ["k", "inst"], "hot_inst").groupBy("k", "pat").agg(F.count("*").alias("f"), F.max("n").alias("n"), F.max("hot_pat").alias("hot_pat"))
         good = written(held.where((F.col("f") >= support) & (F.col("f") >= precision * F.col("n"))).select("k", "pat", "hot_pat"), "good")
         new = written(_semi(open_, good, ["k", "pat"], "hot_pat").groupBy("k", "inst").agg(F.count("*").alias("c"), F.max("hot_inst").alias("hot_inst")).where(F.col("c") >= agree).select("k", "inst", "hot_inst"), "promoted")
         now = new.count()
+        for table in spent:  # what the round before read
+            release(table)
         if now == size or not now:
             return new.select("k", "inst")
-        accepted, size = seeds.union(new), now
+        accepted, size, spent = seeds.union(new), now, [good, new]
 
 
 FOUND = "array<struct<k:int,s:int,e:int,seed:boolean,inst:bigint,pats:array<bigint>>>"

@@ -20,7 +20,7 @@ from geostrata.llm import ngram
 from geostrata.llm.common import SPACE, free_prefix, written
 
 SYMBOLS = "#*$%&|<>"
-FLUSH = 4_000_000  # codes that wait for being counted
+FLUSH = 1_500_000  # characters that wait for being counted
 
 
 def rules(text: str) -> tuple[int, int, int, int, int]:
@@ -257,7 +257,7 @@ def scores(rows: DataFrame, max_grams: int) -> DataFrame:
     return first.withColumn("bits", F.when(F.col("chars") > 0, F.col("bits") / F.col("chars")).otherwise(0.0))
 
 
-def quality(docs: DataFrame, reject: float = 1e-5, keep_columns: str | None = None, max_grams: int = 4_000_000) -> DataFrame:
+def quality(docs: DataFrame, reject: float = 1e-5, keep_columns: str | None = None, max_grams: int = 2_000_000) -> DataFrame:
     """Rule counts, perplexity and verdict of each row of docs (doc_id, text, lang; other columns are ignored).
 
     base_failed: fewer than 50 words, or over half of the words in repeated three-word windows. kept: not base_failed,

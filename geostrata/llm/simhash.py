@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geostrata.llm.common import texts, written
+from geostrata.llm.common import release, texts, written
 
 RADIUS, SHINGLE = 3, 3
 TILE, TILES = 1 << 20, 32  # fingerprints in a tile at most, about; tiles at least, if they hold a thousand
@@ -153,16 +153,19 @@ def near_links(points: DataFrame, radius: int = RADIUS, tile: int | None = None)
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, root): the smallest node that each node of the links u < v reaches; by large-star and small-star steps, each written, until nothing changes."""
-    now = written(edges.distinct(), name)
+    now, held = written(edges.distinct(), name), []
     if now.isEmpty():
         return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     n_now = now.count()
     while True:
         both = now.union(now.select("v", "u"))
-        low = written(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"), name)
-        down = written(_star(both, low, 2 * n_now, F.col("v") > F.col("u")).toDF("u", "v").distinct(), name)  # u > v
+        around = written(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"), name)
+        down = written(_star(both, around, 2 * n_now, F.col("v") > F.col("u")).toDF("u", "v").distinct(), name)  # u > v
         low = written(down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), name)
         new = written(_star(down, low, down.count(), F.lit(True)).union(low.select("u", "m")).select(F.least("u", "m").alias("u"), F.greatest("u", "m").alias("v")).where("u < v").distinct(), name)
+        for table in held:  # what the round before read
+            release(table)
+        held = [around, low, down, now]
         n_new = new.count()
         if n_new == n_now and new.exceptAll(now).isEmpty():
             return new.select(F.col("v").alias("node"), F.col("u").alias("root"))

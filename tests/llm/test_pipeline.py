@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from geostrata.llm import line_dedup, ngram, quality
+from geostrata.llm import quality
 from tests.llm.test_operators import check_packing, slow_components, slow_hits, slow_lines, slow_print
 
 
@@ -61,5 +61,14 @@ def test_stages_take_empty_tables(spark, tmp_path):
         assert f(spark, docs, str(tmp_path)).collect() == []
 
 
-def test_models_know_their_language():
-    assert line_dedup.HOT > 1 and ngram.ORDER == 4
+def test_stages_keep_odd_columns_and_rows(spark, tmp_path):
+    """Columns named like helpers, null ids, null texts and repeated rows pass each stage with their values."""
+    texts, _ = corpus(tmp_path, spark)
+    rows = [(k, texts[k], "en", "s", len(texts[k]), f"h{k}", f"n{k}") for k in (4, 5, 5, 6)] + [(None, texts[7], None, "s", 1, "x", "y"), (9, None, "en", "s", 0, "x", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _id string, __kept string")
+    for name, f in corpus_pipeline.STAGES[:-1]:
+        out = f(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        got = sorted((str(r["doc_id"]), r["_id"], r["__kept"]) for r in out.collect())
+        want = sorted((str(r[0]), r[5], r[6]) for r in rows if name != "quality_rules" or r[1] is not None)
+        assert got == want, name
