@@ -13,13 +13,14 @@ from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geostrata.llm import ngram
 from geostrata.llm.common import SPACE, free_prefix, written
 
 SYMBOLS = "#*$%&|<>"
+HOT = 4  # a text is hot if it holds more than a HOT-th of an even partition
 FLUSH = 1_500_000  # characters that wait for being counted
 
 
@@ -257,7 +258,24 @@ def scores(rows: DataFrame, max_grams: int) -> DataFrame:
     return first.withColumn("bits", F.when(F.col("chars") > 0, F.col("bits") / F.col("chars")).otherwise(0.0))
 
 
-def quality(docs: DataFrame, reject: float = 1e-5, keep_columns: str | None = None, max_grams: int = 2_000_000) -> DataFrame:
+def _met(docs: DataFrame, texts: DataFrame, text: Column, lang: Column, name: str, max_broadcast: int) -> DataFrame:
+    """docs with their texts' verdicts. A verdict follows from text and language, so it meets the rows by hash, length and
+    language, and only rejections travel: broadcast up to max_broadcast of them. Beyond, texts that hold more rows than a
+    share of a partition, which are few, are broadcast with their verdicts, and only the rows of other texts are shuffled."""
+    p = free_prefix(docs)
+    same = (F.xxhash64(text) == F.col(p + "th")) & (lang == F.col(p + "lang")) & (F.length(text) == F.col(p + "chars"))
+    own, keys = [F.col(f"`{c}`") for c in docs.columns], [F.col("text_hash").alias(p + "th"), F.col("lang").alias(p + "lang"), F.col("chars").alias(p + "chars")]
+    gone = texts.where("not kept")
+    if gone.count() <= max_broadcast:
+        return docs.join(F.broadcast(gone.select(*keys)), same, "left").select(*own, F.col(p + "th").isNull().alias(name))
+    share = texts.agg(F.sum("n")).first()[0] // (HOT * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    hot = F.broadcast(texts.where(F.col("n") > share).select(*keys, F.col("kept").alias(p + "kept")))
+    warm = docs.join(hot, same).select(*own, F.col(p + "kept").alias(name))
+    cold = docs.join(hot, same, "left_anti").join(gone.where(F.col("n") <= share).select(*keys), same, "left")
+    return warm.unionByName(cold.select(*own, F.col(p + "th").isNull().alias(name)))
+
+
+def quality(docs: DataFrame, reject: float = 1e-5, keep_columns: str | None = None, max_grams: int = 2_000_000, max_broadcast: int = 500_000) -> DataFrame:
     """Rule counts, perplexity and verdict of each row of docs (doc_id, text, lang; other columns are ignored).
 
     base_failed: fewer than 50 words, or over half of the words in repeated three-word windows. kept: not base_failed,
@@ -273,9 +291,7 @@ def quality(docs: DataFrame, reject: float = 1e-5, keep_columns: str | None = No
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     scored = scored.join(F.broadcast(bands), (F.col("lang") == F.col("_of")) & (F.floor(F.log2("chars")) == F.col("_size")), "left")
     verdict = ~failed & (F.abs(F.col("bits") - F.col("_mid")) <= F.col("_width"))
-    if keep_columns:  # the verdict follows from text and language: it meets the rows again by their hashes, and only rejections travel
-        p = free_prefix(docs)
-        out = scored.where(~verdict).select(F.col("text_hash").alias(p + "th"), F.col("lang").alias(p + "lang"), F.col("chars").alias(p + "chars")).distinct()
-        same = (F.xxhash64(text) == F.col(p + "th")) & (lang == F.col(p + "lang")) & (F.length(text) == F.col(p + "chars"))
-        return docs.join(out, same, "left").select(*[F.col(f"`{c}`") for c in docs.columns], F.col(p + "th").isNull().alias(keep_columns))
+    if keep_columns:
+        texts = written(scored.groupBy("text_hash", "lang", "chars").agg(F.count("*").alias("n"), F.min(verdict).alias("kept")), "verdicts")
+        return _met(docs, texts, text, lang, keep_columns, max_broadcast)
     return scored.select("doc_id", *RULES, failed.alias("base_failed"), verdict.alias("kept"), "lang", F.pow(F.lit(2.0), F.col("bits")).alias("perplexity"), "text_hash")

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from geostrata.llm.common import release, texts, written
 
 RADIUS, SHINGLE = 3, 3
-TILE, TILES = 1 << 20, 32  # fingerprints in a tile at most, about; tiles at least, if they hold a thousand
+TILE, TILES = 1 << 20, 16  # fingerprints in a tile at most, about; tiles at least, if they hold a thousand
 HOT = 4  # a node is hot if it holds more than a HOT-th of an even partition
 
 
@@ -131,21 +131,26 @@ def near_links(points: DataFrame, radius: int = RADIUS, tile: int | None = None)
     """
     p = F.bit_count("fp")
     sizes = {r["p"]: r["count"] for r in points.groupBy(p.alias("p")).count().collect()}  # 65 rows at most
-    tile = tile or max(1000, min(TILE, sum(sizes.values()) // TILES))
-    parts = {k: max(1, -(-n // tile)) for k, n in sizes.items()}
-    if not parts:
+    if not sizes:
         return points.sparkSession.createDataFrame([], "u long, v long")
-    n_parts = F.element_at(F.create_map(*[F.lit(x) for kv in parts.items() for x in kv]), p)
-    dealt = points.select("fp", "id", p.alias("p"), F.pmod(F.xxhash64("fp"), n_parts).cast("int").alias("part"))
+    tile = tile or max(1000, min(TILE, sum(sizes.values()) // TILES))
+    groups: list[list[int]] = []  # neighbouring population counts that fill a tile together
+    for k in sorted(sizes):
+        if groups and sum(sizes[x] for x in groups[-1]) + sizes[k] <= tile:
+            groups[-1].append(k)
+        else:
+            groups.append([k])
+    parts = [max(1, -(-sum(sizes[x] for x in g) // tile)) for g in groups]
+    first = [sum(parts[:g]) for g in range(len(groups))]
+    near = [[h for h in range(len(groups)) if any(abs(x - y) <= radius for x in groups[g] for y in groups[h])] for g in range(len(groups))]
+    of = lambda pairs, key: F.element_at(F.create_map(*[F.lit(int(x)) for kv in pairs for x in kv]), key)
+    group = of([(k, g) for g, own in enumerate(groups) for k in own], p)
+    dealt = points.select("fp", "id", group.alias("p"), F.pmod(F.xxhash64("fp"), of(enumerate(parts), group)).cast("int").alias("part"))
     tiles = written(dealt.groupBy("p", "part").applyInPandas(_pack, "p int, part int, fps binary, ids binary"), "tiles")
-    # Each tile goes to the pairs it belongs to: with every tile of its own count, and of those within the radius.
-    first = {}
-    for k in sorted(parts):
-        first[k] = sum(parts[x] for x in sorted(parts) if x < k)
-    own = F.element_at(F.create_map(*[F.lit(x) for kv in first.items() for x in kv]), F.col("p")) + F.col("part")
-    reach = {k: (min(first[x] for x in parts if abs(x - k) <= radius), max(first[x] + parts[x] - 1 for x in parts if abs(x - k) <= radius)) for k in parts}
-    low = F.element_at(F.create_map(*[F.lit(x) for k, v in reach.items() for x in (k, v[0])]), F.col("p"))
-    high = F.element_at(F.create_map(*[F.lit(x) for k, v in reach.items() for x in (k, v[1])]), F.col("p"))
+    # Each tile goes to the pairs it belongs to: with every tile of its own group, and of those within the radius.
+    own = of(enumerate(first), F.col("p")) + F.col("part")
+    low = of([(g, first[near[g][0]]) for g in range(len(groups))], F.col("p"))
+    high = of([(g, first[near[g][-1]] + parts[near[g][-1]] - 1) for g in range(len(groups))], F.col("p"))
     met = tiles.withColumn("t", own).withColumn("o", F.explode(F.sequence(low, high)))
     pairs = met.select(F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), "t", "fps", "ids")
     return pairs.groupBy("i", "j").applyInPandas(_compare(radius), "u long, v long")

@@ -411,6 +411,10 @@ def test_perplexity_bands_reject_what_is_unlike_the_language(spark, empty):
     assert quality.quality(empty).collect() == []
     kept = quality.quality(docs_of(spark, [*good, noise, None], lang=None), keep_columns="__kept")
     assert kept.columns[:-1] == docs_of(spark, []).columns and sorted(r["doc_id"] for r in kept.where("not __kept").collect()) == [150, 151]
+    copies = docs_of(spark, [*good, *[None] * 200, *[good[0]] * 100, noise])
+    for most in (500_000, 0):  # by a broadcast, and with hot texts apart
+        out = {r["doc_id"]: r["__kept"] for r in quality.quality(copies, keep_columns="__kept", max_broadcast=most).collect()}
+        assert len(out) == 451 and {k for k, kept in out.items() if not kept} == {*range(150, 350), 450}
 
 
 def test_rare_languages_have_a_band(spark):
