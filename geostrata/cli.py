@@ -14,10 +14,20 @@ from geostrata.operators import build, extract, merge, order, summary, tiles, up
 from geostrata.sources import files, osc, pbf
 
 
+def _map_files(path: str) -> list[str]:
+    """A map file, or those of a folder that a writer left."""
+    return sorted(f"{path}/{n}" for n in os.listdir(path) if n.endswith(".pbf")) if os.path.isdir(path) else [path]
+
+
+def load_cells(spark: SparkSession, path: str) -> DataFrame:
+    """elem_type, id and quadtree from files of cells or a Parquet folder."""
+    return pbf.read(spark, *_map_files(path), cells=True) if path.endswith(".pbf") else spark.read.parquet(path)
+
+
 def load(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of pbf.SCHEMA from a map file, a change file or a Parquet folder."""
+    """Rows of pbf.SCHEMA from map files, a change file or a Parquet folder."""
     if path.endswith(".pbf"):
-        return pbf.read(spark, path)
+        return pbf.read(spark, *_map_files(path))
     if path.endswith((".osc", ".osc.gz")):
         return osc.read(spark, path)
     return spark.read.parquet(path)
@@ -45,11 +55,15 @@ def calcqts(spark, a) -> None:
     if a.prelim:
         build.way_quadtrees(nodes, way_nodes, a.level, a.buffer).write.parquet(a.prelim)
         prelim = spark.read.parquet(a.prelim)
-    build.quadtrees(nodes, way_nodes, rels, mem, a.level, a.buffer, prelim).write.parquet(a.out)
+    cells = build.quadtrees(nodes, way_nodes, rels, mem, a.level, a.buffer, prelim)
+    if a.out.endswith(".pbf"):
+        pbf.write(cells.repartitionByRange("elem_type", "id").sortWithinPartitions("elem_type", "id").select("elem_type", "id", "quadtree"), a.out)
+    else:
+        cells.write.parquet(a.out)
 
 
 def sortblocks(spark, a) -> None:
-    cells = spark.read.parquet(a.qts)
+    cells = load_cells(spark, a.qts)
     rows = build.attach(load(spark, a.path).drop("quadtree", "tile"), cells).withColumn("tags", order.sorted_tags(F.col("tags")))
     packed = tiles.pack_tiles(tiles.tile_weights(cells, a.level), a.target, a.least)
     tiles.cluster(tiles.with_tiles(rows, packed).withColumn("seq", F.lit(0).cast("long"))).write.parquet(f"{a.out}/base")

@@ -35,6 +35,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def exists(df: DataFrame) -> bool:
+    """Whether a table that written() gave still has its files."""
+    path = getattr(df, "_scratch", None)
+    if not path:
+        return False
+    target = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).exists(target))
+
+
 def release(df: DataFrame | None) -> None:
     """Delete the files of a table that written() gave, once nothing reads it any more: loops give back the round before last."""
     path = getattr(df, "_scratch", None)

@@ -9,7 +9,7 @@ from geostrata.fixtures import view
 from geostrata.functions import quadtree as q
 from geostrata.functions import text
 from geostrata.operators import build, diff, extract, merge, order, summary, tiles, update
-from geostrata.plans.scratch import written
+from geostrata.plans.scratch import exists, written
 
 BOX = (-1000000000, -585000000, -600000000, -500000000)
 RING = [(-110.0, -59.0), (-20.0, -59.0), (-20.0, -48.0), (-60.0, -54.0), (-110.0, -48.0), (-80.0, -53.5)]
@@ -175,6 +175,17 @@ def _all_cells(spark, d):
     return build.quadtrees(*[view(spark, d, n) for n in ("nodes", "way_nodes", "relations", "rel_members")])
 
 
+_KNOWN: dict[tuple[str, str], DataFrame] = {}
+
+
+def _known_cells(spark, d):
+    """The cells of a fixture folder, built once a session for the queries whose operators start from cells."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _KNOWN or not exists(_KNOWN[key]):
+        _KNOWN[key] = _all_cells(spark, d)
+    return _KNOWN[key]
+
+
 @query
 def relation_quadtrees(spark, d):
     return _all_cells(spark, d).where("elem_type = 2").select("id", "quadtree")
@@ -236,27 +247,27 @@ def max_timestamp(spark, d):
 # --- tiles ------------------------------------------------------------------------------------------------------------
 def _tiles(spark, d, cells=None):
     """A fixed tile set: the cells of depth DEPTH at most that elements round to."""
-    return tiles.tile_weights(cells if cells is not None else _all_cells(spark, d), DEPTH)
+    return written(tiles.tile_weights(cells if cells is not None else _known_cells(spark, d), DEPTH), "tiles")
 
 
 @query
 def tile_weights(spark, d):
-    return tiles.tile_weights(_all_cells(spark, d))
+    return tiles.tile_weights(_known_cells(spark, d))
 
 
 @query
 def tile_totals(spark, d):
-    return tiles.tile_totals(tiles.tile_weights(_all_cells(spark, d)))
+    return tiles.tile_totals(tiles.tile_weights(_known_cells(spark, d)))
 
 
 @query
 def tile_assign(spark, d):
-    cells = _all_cells(spark, d)
+    cells = _known_cells(spark, d)
     return tiles.assign(cells, _tiles(spark, d, cells))
 
 
 def _tiled(spark, d):
-    cells = _all_cells(spark, d)
+    cells = _known_cells(spark, d)
     return tiles.with_tiles(build.attach(_elements(spark, d), cells), _tiles(spark, d, cells))
 
 
@@ -298,17 +309,17 @@ def snapshot_sizes(spark, d):
 
 @query
 def tile_groups(spark, d):
-    return tiles.pack_tiles(tiles.tile_weights(_all_cells(spark, d)), 1000)
+    return tiles.pack_tiles(tiles.tile_weights(_known_cells(spark, d)), 1000)
 
 
 @query
 def tile_groups_listing(spark, d):
-    return tiles.listing(tiles.pack_tiles(tiles.tile_weights(_all_cells(spark, d)), 1000))
+    return tiles.listing(tiles.pack_tiles(tiles.tile_weights(_known_cells(spark, d)), 1000))
 
 
 @query
 def tile_groups_assign(spark, d):
-    cells = _all_cells(spark, d)
+    cells = _known_cells(spark, d)
     packed = tiles.pack_tiles(tiles.tile_weights(cells), 1000)
     return tiles.with_tiles(cells, packed).groupBy("tile").agg(F.count("*").alias("n"))
 
@@ -448,7 +459,7 @@ def extra_nodes(spark, d):
 
 def _log(spark, d):
     """Placed rows: the base at each element's cell, and all changes of elements that it holds, at a cell less deep."""
-    cells = _all_cells(spark, d)
+    cells = _known_cells(spark, d)
     base = tiles.with_tiles(cells, _tiles(spark, d, cells)).select("elem_type", "id", "quadtree", "tile", F.lit(0).alias("changetype"), F.lit(0).cast("long").alias("seq"))
     base = written(base, "base")
     later = update.latest(view(spark, d, "changes")).select("elem_type", "id", "changetype", "seq")
@@ -473,8 +484,8 @@ def update_tiles_read(spark, d):
 @query
 def update_actions(spark, d):
     """Change file 2: changed nodes move, the nodes of changed ways come along, new cells follow, and rows go to tiles."""
-    cells = _all_cells(spark, d)
-    tile_table = written(_tiles(spark, d, cells).select("tile"), "tiles")
+    cells = _known_cells(spark, d)
+    tile_table = _tiles(spark, d, cells).select("tile")
     before = tiles.with_tiles(cells, tile_table).select("elem_type", "id", "quadtree", "tile")
     change = _change(spark, d, 2).select("elem_type", "id", "changetype", "pos")
     wn = view(spark, d, "way_nodes")

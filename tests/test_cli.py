@@ -17,7 +17,9 @@ def test_build_update_extract(spark, tmp_path, capfd):
     told = capfd.readouterr().out
     assert "|5    |1     |5     |1001  |1005  |1000000|5000000|1000000|5000000|" in told
     cli.main(["calcqts", f"{t}/map", "--out", f"{t}/qts", "--prelim", f"{t}/ways"])
-    cli.main(["sortblocks", f"{t}/map", "--qts", f"{t}/qts", "--out", f"{t}/db", "--target", "60", "--least", "2", "--end-date", "2024-01-01T00:00:00"])
+    cli.main(["calcqts", f"{t}/map", "--out", f"{t}/qts.pbf", "--existing", f"{t}/ways"])
+    assert sorted(map(tuple, cli.load_cells(spark, f"{t}/qts.pbf").collect())) == sorted(map(tuple, spark.read.parquet(f"{t}/qts").collect()))
+    cli.main(["sortblocks", f"{t}/map", "--qts", f"{t}/qts.pbf", "--out", f"{t}/db", "--target", "60", "--least", "2", "--end-date", "2024-01-01T00:00:00"])
     (tmp_path / "diffs").mkdir()
     (tmp_path / "diffs/1.osc").write_text(OSC)
     cli.main(["update-initial", f"{t}/db", "--diffs", f"{t}/diffs"])
