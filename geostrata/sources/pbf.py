@@ -14,7 +14,9 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
 
 SCHEMA = (
@@ -378,6 +380,18 @@ def decode_cells(data: bytes) -> list[tuple[int, int, int]]:
 
 
 # --- Spark ------------------------------------------------------------------------------------------------------------
+_TAGS = pa.list_(pa.struct([("key", pa.string()), ("val", pa.string())]))
+_MEMBERS = pa.list_(pa.struct([("role", pa.string()), ("mem_type", pa.int32()), ("mem_ref", pa.int64())]))
+_KINDS = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "array<long>": pa.list_(pa.int64())}
+TYPES = [(c.split(" ", 1)[0], {"tags": _TAGS, "members": _MEMBERS}.get(c.split(" ", 1)[0]) or _KINDS[c.split(" ", 1)[1]]) for c in SCHEMA.split(", ")]
+CELL_TYPES = [("elem_type", pa.int32()), ("id", pa.int64()), ("quadtree", pa.int64())]
+
+
+def batch_of(rows: list[tuple], types: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
+    """A block's rows as one Arrow batch, column by column."""
+    return pa.record_batch([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), types, strict=True)], [n for n, _ in types])
+
+
 class Frames(InputPartition):
     def __init__(self, path: str, spans: list[tuple[int, int]]):
         self.path, self.spans = path, spans
@@ -430,11 +444,10 @@ class PbfReader(DataSourceReader):
         with open(partition.path, "rb") as f:
             for start, size in partition.spans:
                 f.seek(start)
-                if self.cells:
-                    yield from decode_cells(unblob(f.read(size)))
-                    continue
-                for r in decode(unblob(f.read(size)), self.wanted["elem_type"], self.wanted["id"], self.columns):
-                    yield (*r[:8], [tuple(t.values()) for t in r[8]], *r[9:12], None if r[12] is None else [tuple(m.values()) for m in r[12]], *r[13:])
+                data = unblob(f.read(size))
+                rows = decode_cells(data) if self.cells else decode(data, self.wanted["elem_type"], self.wanted["id"], self.columns)
+                if rows:
+                    yield batch_of(rows, CELL_TYPES if self.cells else TYPES)
 
 
 class PbfSource(DataSource):
@@ -468,7 +481,7 @@ def write(df: DataFrame, path: str, block: int = 8000, compression: str = "zlib"
     cells = set(df.columns) == {"elem_type", "id", "quadtree"}
     os.makedirs(path, exist_ok=True)
 
-    def save(rows):
+    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         task = TaskContext.get()
@@ -481,8 +494,7 @@ def write(df: DataFrame, path: str, block: int = 8000, compression: str = "zlib"
                 items.append((tile, data.write(frame("OSMData", content, compression, level)), as_change))
                 own.clear()
 
-            for r in rows:
-                d = r.asDict(recursive=True)
+            for d in (d for batch in batches for d in batch.to_pylist()):
                 if own and (len(own) >= block or d.get("tile") != tile):
                     flush()
                 tile = d.get("tile")
@@ -495,6 +507,6 @@ def write(df: DataFrame, path: str, block: int = 8000, compression: str = "zlib"
             shutil.copyfileobj(data, f)
         os.remove(data.name)
         os.replace(f.name, name)
-        yield len(items)
+        yield pa.record_batch({"n": pa.array([len(items)], pa.int64())})
 
-    return sum(df.rdd.mapPartitions(save).collect())
+    return df.mapInArrow(save, "n long").agg(F.sum("n")).first()[0] or 0

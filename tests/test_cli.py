@@ -23,6 +23,8 @@ def test_build_update_extract(spark, tmp_path, capfd):
     (tmp_path / "diffs").mkdir()
     (tmp_path / "diffs/1.osc").write_text(OSC)
     cli.main(["update-initial", f"{t}/db", "--diffs", f"{t}/diffs"])
+    cli.main(["update", f"{t}/db", "--demo"])
+    assert len(json.loads((tmp_path / "db/filelist.json").read_text())) == 1 and (tmp_path / "db/1-demo").is_dir()
     cli.main(["update", f"{t}/db"])
     assert json.loads((tmp_path / "db/filelist.json").read_text())[-1]["State"] == 1
     cli.main(["mergechanges", f"{t}/db", "--out", f"{t}/now", "--sort"])
