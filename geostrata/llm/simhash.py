@@ -199,10 +199,15 @@ def near_dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     prints = written(texts(docs).mapInArrow(_prints, "doc_id long, fp long"), "prints")
     known = prints.where("doc_id is not null")
-    points = written(known.groupBy("fp").agg(F.min("doc_id").alias("id"), F.max("doc_id").alias("other")), "points")
+    points = written(known.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")), "points")
     edges = near_links(points.select("fp", "id"), radius)
     twice = known.distinct().groupBy("doc_id").agg(F.count("fp").alias("n")).where("n > 1").select("doc_id")
-    tied = known.join(twice, "doc_id").join(points, "fp").select(F.least("doc_id", "id").alias("u"), F.greatest("doc_id", "id").alias("v")).where("u < v")
+    tied = known.distinct().join(twice, "doc_id").join(points, "fp").select(F.least("doc_id", "id").alias("u"), F.greatest("doc_id", "id").alias("v")).where("u < v")
     found = components(edges.union(tied))
-    by_fp = points.join(found, points["id"] == found["node"], "left").select("fp", F.coalesce("root", "id").alias("component_id"))
-    return prints.join(by_fp.withColumnRenamed("fp", "_fp"), F.col("fp") == F.col("_fp"), "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    by_fp = points.join(found, points["id"] == found["node"], "left").select(F.col("fp").alias("_fp"), F.coalesce("root", "id").alias("root"), "n")
+    # Fingerprints of more rows than a share of a partition are few: they are broadcast, so copies don't meet in one task.
+    share = prints.count() // (HOT * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    hot = F.broadcast(by_fp.where(F.col("n") > share).select("_fp", "root"))
+    met = prints.join(hot, F.col("fp") == F.col("_fp"), "left").select("doc_id", "fp", "root")
+    cold = met.where("root is null").select("doc_id", "fp").join(by_fp.where(F.col("n") <= share), F.col("fp") == F.col("_fp"), "left").select("doc_id", "fp", "root")
+    return met.where("root is not null").unionByName(cold).select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("root")).alias("component_id"))
