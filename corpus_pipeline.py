@@ -13,6 +13,9 @@ from geostrata.llm import decontaminate, line_dedup, packing, quality, simhash
 from geostrata.llm.common import free_prefix, table, written
 
 
+MAX_BROADCAST = 500_000  # documents to drop that are broadcast at most
+
+
 def _names(docs: DataFrame) -> list:
     return [F.col(f"`{c}`") for c in docs.columns]
 
@@ -41,7 +44,9 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: that of the smallest doc_id. Rows that repeat a doc_id are one document and stay or go together; those without a doc_id stay."""
     own = free_prefix(docs) + "id"
-    drop = simhash.near_dedup(docs).where("component_id <> doc_id").select(F.col("doc_id").alias(own)).distinct()
+    drop = written(simhash.near_dedup(docs).where("component_id <> doc_id").select(F.col("doc_id").alias(own)).distinct(), "near-duplicates")
+    if drop.count() <= MAX_BROADCAST:  # beyond, the documents are shuffled by doc_id
+        drop = F.broadcast(drop)
     return docs.join(drop, F.col("doc_id") == F.col(own), "left_anti").select(*_names(docs))
 
 
