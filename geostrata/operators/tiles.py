@@ -56,9 +56,9 @@ def greedy(tile: np.ndarray, weight: np.ndarray, total: np.ndarray, everything:
     n, out = len(tile), {}
     total = total.copy()
     depth = (tile & 31).astype(np.int64)
-    at = {int(t): k for k, t in enumerate(tile)}
-    cut = lambda t, d: ((t >> (63 - 2 * d)) << (63 - 2 * d)) + d if d else 0
-    parent = np.array([at[cut(int(t), int(d) - 1)] if d else -1 for t, d in zip(tile, depth, strict=True)], np.int64)
+    up = np.maximum(depth - 1, 0)
+    above = (tile >> (63 - 2 * up) << (63 - 2 * up)) + up  # each cell's parent, which the totals bring along
+    parent = np.where(depth > 0, np.searchsorted(tile, above), -1)
     alive, left = np.ones(n, bool), everything
     low, high = target - step, target + step
     while left > 0:
