@@ -130,7 +130,6 @@ class Model:
         self.floor = 1.0
         for o in range(1, ORDER + 1):
             c, n = grams[o]
-            c = c.astype(np.uint64)
             taken = d[o][np.minimum(n, 3)]
             context, at = np.unique(hashes(c[:, :-1]), return_inverse=True)
             total = np.bincount(at, n, len(context))

@@ -185,10 +185,11 @@ def _by_model(table: pa.Table) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     column = lambda c: table.column(c).to_numpy().astype(np.int64)
     n, of, m = column("n"), coded.indices.to_numpy(zero_copy_only=False), ngram.LOW
     if "hi" in table.column_names:
-        hi, lo = column("hi"), column("lo")
-        c = np.stack([hi >> ngram.BITS, hi & m, lo >> 2 * ngram.BITS, lo >> ngram.BITS & m, lo & m], 1)
+        c = np.empty((len(n), ngram.ORDER), np.int32)
+        for k, (name, shift) in enumerate((("hi", 1), ("hi", 0), ("lo", 2), ("lo", 1), ("lo", 0))):
+            c[:, k] = column(name) >> shift * ngram.BITS & m
     else:
-        c = np.stack([column("b"), column("c")], 1)
+        c = np.stack([column("b"), column("c")], 1).astype(np.int32)
     order = np.argsort(of, kind="stable")
     cuts = np.searchsorted(of[order], np.arange(len(coded.dictionary) + 1))
     return {name: (c[order[lo:hi]], n[order[lo:hi]]) for name, lo, hi in zip(coded.dictionary.to_pylist(), cuts, cuts[1:], strict=False)}
@@ -222,9 +223,9 @@ def models_of(grams: DataFrame, block: tuple[int, int], d: dict[tuple[str, int],
     pairs = None
     if block[1] > 1:
         pairs = _by_model(grams.select("lang", c[0].alias("a"), c[1].alias("b"), c[2].alias("c")).distinct().groupBy("lang", "b", "c").agg(F.count("*").alias("n")).toArrow())
-    out, none = {}, (np.zeros((0, ngram.ORDER), np.int64), np.zeros(0, np.int64))
+    out, none = {}, (np.zeros((0, ngram.ORDER), np.int32), np.zeros(0, np.int64))
     for name in sorted(own.keys() | (pairs or {}).keys()):
-        levels = {ngram.ORDER: own.get(name, none)}
+        levels = {ngram.ORDER: own.pop(name, none)}
         for o in range(ngram.ORDER - 1, 0, -1):
             levels[o] = pairs[name] if o == 2 and pairs is not None else ngram.shorter(*levels[o + 1])
         out[name] = ngram.Model(levels, {o: d.get((name, o), ngram.discounts(0, 0, 0, 0)) for o in levels})
