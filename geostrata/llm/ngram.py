@@ -97,7 +97,7 @@ class Table:
     def __init__(self, hashes: np.ndarray, values: np.ndarray):
         order = np.argsort(hashes)
         self.hashes, self.values = hashes[order], values[order].astype(np.float32)
-        bits = max(1, int(len(hashes) * 4).bit_length())
+        bits = max(1, len(hashes).bit_length())  # no larger than the hashes: each worker holds one
         self.shift = np.uint64(64 - bits)
         self.index = np.searchsorted(self.hashes >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
 

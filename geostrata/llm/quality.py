@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geostrata.llm import ngram
-from geostrata.llm.common import SPACE, free_prefix, written
+from geostrata.llm.common import SPACE, free_prefix, lean, written
 
 SYMBOLS = "#*$%&|<>"
 HOT = 4  # a text is hot if it holds more than a HOT-th of an even partition
@@ -197,7 +197,7 @@ def _by_model(table: pa.Table) -> dict[str, tuple[np.ndarray, np.ndarray]]:
 
 def counted(rows: DataFrame) -> DataFrame:
     """(lang, hi, lo, n): the n-grams of all texts of rows (lang, text)."""
-    return written(rows.select("lang", "text").mapInArrow(_count, "lang string, hi long, lo long, n long").groupBy("lang", "hi", "lo").agg(F.sum("n").alias("n")), "n-grams")
+    return written(rows.select("lang", "text").mapInArrow(lean(_count), "lang string, hi long, lo long, n long").groupBy("lang", "hi", "lo").agg(F.sum("n").alias("n")), "n-grams")
 
 
 def _discounts(grams: DataFrame) -> dict[tuple[str, int], np.ndarray]:
@@ -245,14 +245,13 @@ def scores(rows: DataFrame, max_grams: int) -> DataFrame:
     first, rest = None, None
     for k in range(n_blocks):
         shared = context.broadcast(models_of(grams, (k, n_blocks), d))
-        part = rows.mapInArrow(_score(shared, (k, n_blocks)), SCORED + ("".join(f", {c} long" for c in RULES) if k == 0 else ""))
+        part = rows.mapInArrow(lean(_score(shared, (k, n_blocks))), SCORED + ("".join(f", {c} long" for c in RULES) if k == 0 else ""))
         if k == 0:
             first = written(part, "scores")
         else:  # rows of one text and model have the same sum
             part = written(part.groupBy("text_hash", "lang", "chars").agg(F.max("bits").alias("bits")), "scores-block")
             rest = part if rest is None else rest.union(part)
-        if n_blocks > 1:
-            shared.unpersist()
+        shared.unpersist()
     if rest is not None:
         more = rest.groupBy("text_hash", "lang", "chars").agg(F.sum("bits").alias("_more"))
         first = written(first.join(more, ["text_hash", "lang", "chars"], "left").withColumn("bits", F.col("bits") + F.coalesce("_more", F.lit(0.0))).drop("_more"), "scores-sum")

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geostrata.llm.common import release, texts, written
+from geostrata.llm.common import lean, release, texts, written
 
 RADIUS, SHINGLE = 3, 3
 TILE, TILES = 1 << 20, 16  # fingerprints in a tile at most, about; tiles at least, if they hold a thousand
@@ -197,7 +197,7 @@ def near_dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     reach. Rows with a null doc_id get a fingerprint, take no part in links and have a null component_id. Rows that repeat
     a doc_id with other texts join their components. An empty table gives no rows.
     """
-    prints = written(texts(docs).mapInArrow(_prints, "doc_id long, fp long"), "prints")
+    prints = written(texts(docs).mapInArrow(lean(_prints), "doc_id long, fp long"), "prints")
     known = prints.where("doc_id is not null")
     points = written(known.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")), "points")
     edges = near_links(points.select("fp", "id"), radius)

@@ -1,6 +1,7 @@
 """Every operator against a plain version on small tables that hold nulls, empty and long texts, repeats and odd columns."""
 
 import hashlib
+import os
 import random
 import re
 import time
@@ -391,6 +392,43 @@ def test_kneser_ney(spark, most):
         assert quality.bits_of(["x"], ["none"], models)[0] == 0
 
 
+def test_an_index_is_no_larger_than_its_hashes():
+    rng = np.random.default_rng(3)
+    known, other = np.split(np.unique(rng.integers(0, 1 << 64, 60_000, np.uint64, endpoint=False))[rng.permutation(50_000)], [40_000])
+    table = ngram.Table(known, np.arange(len(known)))
+    assert table.index.nbytes <= table.hashes.nbytes + 4
+    assert (table.values[table.find(known)] == np.arange(len(known))).all() and (table.find(other) == -1).all()
+
+
+@pytest.mark.skipif(not os.path.exists("/proc/self/smaps_rollup"), reason="reads the memory of a process from /proc")
+@pytest.mark.parametrize("operator", ["quality", "simhash"])
+def test_workers_give_memory_back(spark, operator):
+    """What a worker could give back to the system after its task: it counts beside the heap in the stages that follow."""
+
+    def held(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        def mb():
+            return sum(int(line.split()[1]) for line in open("/proc/self/smaps_rollup") if line.startswith("Pss_Anon")) / 1024
+
+        for _ in batches:
+            pass
+        before = mb()
+        pa.default_memory_pool().release_unused()
+        ctypes.CDLL(None).malloc_trim(0)
+        yield pa.record_batch({"mb": [before - mb()]})
+
+    rest = lambda: max(r["mb"] for r in spark.range(0, 16, 1, 16).mapInArrow(held, "mb double").collect())
+    rest()
+    text = q.F.repeat(q.F.concat(q.F.sha2(q.F.col("id").cast("string"), 256), q.F.lit(" ")), 40)
+    many = spark.range(0, 40_000, 1, 4).select(q.F.col("id").alias("doc_id"), q.F.lit("en").alias("lang"), text.alias("text"))
+    made_ = quality.counted(many) if operator == "quality" else simhash.near_dedup(many)
+    assert made_.count() > 0
+    assert rest() < 32
+
+
 def test_bands_against_a_plain_version(spark):
     """One language, one length class and many documents: the band is the median and the robust spread times the normal width, but for the prior and the standard errors."""
     rng = np.random.default_rng(1)
