@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geostrata.llm import decontaminate, edit_counts, html_text, licenses, line_dedup, oracles, packing, pii, quality, secrets, simhash
@@ -10,7 +10,10 @@ from geostrata.llm.common import table
 
 
 def _counts(kinds: tuple[str, ...]) -> list:
-    return [F.size(F.filter("base", lambda x, k=k: x["k"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(kinds)]
+    def count(kind: int) -> Column:  # a second parameter of the lambda, even with a default, would be the element's index
+        return F.size(F.filter("base", lambda x: x["k"] == kind)).cast("long")
+
+    return [count(k).alias(f"n_{name}") for k, name in enumerate(kinds)]
 
 
 def op1_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,6 +86,21 @@ def test_base_spans_match_the_plain_expressions():
     assert pii.base_spans(pii.flat(f"at {zeros}256.2.3.{zeros} here")) == []
 
 
+@pytest.mark.parametrize("name, kinds, slow", [("op1_pii_bootstrap", pii.KINDS, slow_pii), ("op2_secret_crf", secrets.KINDS, slow_secrets)])
+def test_queries_of_spans_match_the_plain_expressions(spark, tmp_path, monkeypatch, name, kinds, slow):
+    monkeypatch.setattr(secrets, "fitted", lambda docs, field=secrets.train(secrets.made(7, 100), epochs=5): field)
+    texts = [*map(noisy, range(60)), None, "", "at 10.0.0.1 and 10.0.0.2, call +1 (555) 123-4567", "deadbeef" * 4 + " AKIA" + "A1" * 9 + " then deadbeef" * 3 + " Token: abcdef"]
+    docs_of(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r["doc_id"]: r for r in getattr(q, name)(spark, str(tmp_path)).collect()}
+    counted = kinds[: 4 if slow is slow_pii else 3]
+    assert len(out) == len(texts)
+    for k, t in enumerate(texts):
+        spans = slow(t or "")
+        assert [out[k][f"n_{kind}"] for kind in counted] == [sum(x[0] == n for x in spans) for n in range(len(counted))]
+        assert out[k]["base_sha256"] == hashlib.sha256(",".join(f"{kinds[n]}:{s}:{e}" for n, s, e in spans).encode()).hexdigest()
+        assert {f"{kinds[n]}:{s}:{e}" for n, s, e in spans} <= set(out[k]["spans"].split(","))
+
+
 def test_long_digit_runs_take_linear_time():
     for t in ("1" * 200_000, "1." * 100_000, "+1" + "(" * 200_000, "a" * 200_000 + "@"):
         start = time.process_time()
