@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 SPARK_EPOCH = "CAST(timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', {0}) AS BIGINT)"
 DUCK_EPOCH = "CAST(FLOOR(epoch({0})) AS BIGINT)"
@@ -61,6 +62,11 @@ VIEWS = {
         ON e.elem_type = 0 AND ni.rn = e.p % k.nn""",
 }
 BASE = ("lineitem", "orders", "customer", "events")
+#: What counts and numbers all nodes in the changes, which Spark would do in one task.
+COUNTED = "(SELECT COUNT(DISTINCT 4 * l_orderkey + l_linenumber) FROM lineitem)"
+NUMBERED = """(SELECT n_id, ROW_NUMBER() OVER (ORDER BY n_id) - 1 AS rn
+                   FROM (SELECT DISTINCT 4 * l_orderkey + l_linenumber AS n_id FROM lineitem))"""
+SPAN = 1 << 20
 
 
 def _with_epoch(sql: str, form: str) -> str:
@@ -71,10 +77,22 @@ def _with_epoch(sql: str, form: str) -> str:
     return sql
 
 
+def numbered_nodes(lineitem: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """n, how many nodes each span of SPAN ids has, and n_id, rn: each node's place in order, from 0. A task orders the nodes of a span, so SPAN at most; only the spans are ordered in one."""
+    ids = lineitem.select((4 * F.col("l_orderkey") + F.col("l_linenumber")).alias("n_id")).where("n_id is not null").distinct().withColumn("_span", F.floor(F.col("n_id") / SPAN))
+    sizes = ids.groupBy("_span").agg(F.count("*").alias("n"))
+    starts = sizes.select("_span", (F.sum("n").over(Window.orderBy("_span")) - F.col("n")).alias("_start"))
+    place = F.row_number().over(Window.partitionBy("_span").orderBy("n_id")) - 1
+    return sizes, ids.join(F.broadcast(starts), "_span").select("n_id", (F.col("_start") + place).alias("rn"))
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A fixture table in Spark."""
     sql = _with_epoch(VIEWS[name], SPARK_EPOCH)
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in BASE if f"FROM {t}" in sql}
+    if NUMBERED in sql:
+        sql = sql.replace(COUNTED, "(SELECT COALESCE(SUM(n), 0) FROM {counted})").replace(NUMBERED, "{numbered}")
+        tables["counted"], tables["numbered"] = numbered_nodes(tables.pop("lineitem"))
     for t in tables:
         sql = sql.replace(f"FROM {t}", f"FROM {{{t}}}")
     return spark.sql(sql, **tables)

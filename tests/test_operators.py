@@ -6,6 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from geostrata import fixtures
 from geostrata.functions import quadtree as q
 from geostrata.operators import build, diff, extract, merge, order, summary, tiles, update
 from geostrata.sources import files, osc, pbf
@@ -40,6 +41,25 @@ def test_nodes_follow_their_ways_and_relations_their_members(spark):
     assert dict(build.node_ways(n, wn).collect())[1] == [1, 2]
 
 
+def test_nodes_of_changes_are_numbered_by_spans(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(fixtures, "SPAN", 64)
+    lines = [(k % 301, 1 + k % 7) for k in range(900)] + [(10**7, 1), (5, None)]
+    items = spark.createDataFrame(lines, "l_orderkey long, l_linenumber int")
+    sizes, placed = fixtures.numbered_nodes(items)
+    ids = sorted({4 * a + b for a, b in lines if b})
+    assert dict(placed.collect()) == {n: k for k, n in enumerate(ids)} and sizes.agg(F.sum("n")).first()[0] == len(ids)
+    items.write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(50).selectExpr("id o_orderkey").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(7).selectExpr("id c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(40).selectExpr("id event_id", "id user_id", "timestamp_ntz'2024-01-02 00:00:00' ts", "'click' event_type").write.parquet(f"{tmp_path}/events.parquet")
+    changes = fixtures.view(spark, str(tmp_path), "changes")
+    hot = lambda k: (k % 101 if k % 4 < 2 else k) * 37
+    want = {k: ids[hot(k) % len(ids)] if k % 10 <= 5 else hot(k) % 50 + 1 if k % 10 <= 8 else hot(k) % 7 + 1 for k in range(40)}
+    assert {r["pos"]: r["id"] for r in changes.collect()} == want
+    plan = changes._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(n_id" not in plan and plan.count("windowspecdefinition(_span#") == 2  # of nodes, each span its own; of spans
+
+
 def test_attaching_reports_what_is_out_of_step(spark):
     e = spark.createDataFrame([(0, 1), (1, 2), (2, 3)], "elem_type int, id long")
     c = spark.createDataFrame([(0, 1, 5)], "elem_type int, id long, quadtree long")
