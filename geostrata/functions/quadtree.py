@@ -110,9 +110,9 @@ def round_to(qt, level) -> Column:
 def as_letters(qt) -> Column:
     """A, B, C, D for north-west, north-east, south-west, south-east; NULL (as text) for no value."""
     q = _c(qt)
-    steps = F.slice(F.sequence(F.lit(0), F.lit(MAX_DEPTH - 1)), F.lit(1), depth(q))
-    letters = F.transform(steps, lambda i: F.substring(F.lit("ABCD"), (_right(q, 61 - 2 * i).bitwiseAND(F.lit(3).cast("long")) + 1).cast("int"), F.lit(1)))
-    return F.when(q < 0, F.lit("NULL")).otherwise(F.array_join(letters, ""))
+    n = F.least(depth(q), F.lit(MAX_DEPTH))
+    digits = F.lpad(F.conv(_right(q, 63 - 2 * n).cast("string"), 10, 4), n, F.lit("0"))
+    return F.when(q < 0, F.lit("NULL")).otherwise(F.translate(digits, "0123", "ABCD"))
 
 
 def let(value: Column, use) -> Column:
@@ -207,32 +207,111 @@ def calculate(minlon, minlat, maxlon, maxlat, level: int = ELEMENT_LEVEL, buffer
     return F.when((x0 > x1) | (y0 > y1), F.lit(INVALID).cast("long")).otherwise(let(four, lambda v: _down(v, level, buffer)))
 
 
+def _side(a: Column, b: Column, buffer: float) -> Column:
+    """Which half of a cell from -1 to 1 holds an interval but for a share buffer: 0 the lower, 1 the upper, -1 neither."""
+    out = (a < -1.0 - buffer) | (b > 1.0 + buffer)
+    lower = (b <= 0) | ((b < buffer) & (F.abs(b) < F.abs(a)))
+    upper = (a >= 0) | ((a > -buffer) & (F.abs(b) >= F.abs(a)))
+    return F.when(out, -1).when(lower, 0).when(upper, 1).otherwise(-1)
+
+
+def _walked(low: Column, high: Column, level: int, buffer: float) -> Column:
+    """struct path, n: the halves that an interval goes down by, one level after another."""
+
+    def state(a: Column, b: Column, path: Column, n: Column) -> Column:
+        return F.struct(a.alias("a"), b.alias("b"), _side(a, b, buffer).alias("h"), path.alias("path"), n.alias("n"))
+
+    def step(s: Column, _: Column) -> Column:
+        shift = F.lit(0.5) - s["h"]
+        return F.when(s["h"] < 0, s).otherwise(state(2 * (s["a"] + shift), 2 * (s["b"] + shift), 2 * s["path"] + s["h"], s["n"] + 1))
+
+    end = F.aggregate(F.sequence(F.lit(1), F.lit(level)), state(low, high, F.lit(0).cast("long"), F.lit(0)), step)
+    return let(end, lambda s: _path(s["path"], s["n"]))
+
+
+def _path(path: Column, n: Column) -> Column:
+    return F.struct(path.cast("long").alias("path"), n.cast("int").alias("n"))
+
+
+def _axis(low: Column, high: Column, level: int, buffer: float) -> Column:
+    """What _walked gives, without its steps.
+
+    The first step may round; from then on all of the walk's values are exact. So the ends' numbers among the smallest
+    halves give the level at which a middle first parts them. There one more step tells whether the walk ends, or goes
+    along the edge that the interval sticks out of: below by upper halves only, or by lower ones only, while both ends
+    are in bounds, and both move away from that edge by twice as much a level. What has no order (null or NaN) is walked.
+    """
+    if not level:
+        return _path(F.lit(0), F.lit(0))
+    ends = 2.0 ** (level - 2)  # half of the number of smallest halves in a half
+
+    def number(x: Column) -> Column:
+        return F.floor(x * F.lit(ends)) + F.lit(int(ends)).cast("long") if level > 1 else F.lit(0).cast("long")
+
+    def stepped(a: Column, b: Column, h: Column) -> tuple[Column, Column]:
+        shift = F.lit(0.5) - h
+        return 2 * (a + shift), 2 * (b + shift)
+
+    def state(a: Column, b: Column, path: Column, n: Column) -> Column:
+        return F.struct(a.alias("a"), b.alias("b"), path.cast("long").alias("path"), n.cast("int").alias("n"))
+
+    def ended(path: Column, n: Column) -> Column:
+        return state(F.lit(None).cast("double"), F.lit(None).cast("double"), path, n)
+
+    def first(s: Column) -> Column:
+        """s: h, the half of the first step, a and b after it."""
+        numbers = F.struct(s["h"].alias("h"), s["a"].alias("a"), s["b"].alias("b"), number(s["a"]).alias("i"), number(s["b"]).alias("j"))
+        return F.when((s["b"] >= 1) | (s["a"] < -1), state(s["a"], s["b"], s["h"], F.lit(1))).otherwise(let(numbers, inside))
+
+    def inside(s: Column) -> Column:
+        """s: h, a, b; i and j, the ends' numbers."""
+
+        def at(k: Column) -> Column:  # the place of the highest bit that differs
+            cells = F.pow(F.lit(2.0), F.lit(level - 2) - k)
+            i = _right(s["i"], k + 1)
+            middle = 2 * i + 1 - cells
+            return state(s["a"] * cells - middle, s["b"] * cells - middle, s["h"] * cells.cast("long") + i, F.lit(level - 1) - k)
+
+        place = F.floor(F.log2(s["i"].bitwiseXOR(s["j"]) + 0.5)).cast("int")
+        return F.when(s["i"] == s["j"], ended(s["h"] * (1 << level - 1) + s["i"], F.lit(level))).otherwise(let(let(place, at), parted))
+
+    def parted(s: Column) -> Column:
+        """s: a and b in the cell of level n that parts them, and path, down to it."""
+
+        def on(h: Column) -> Column:
+            return F.when(h < 0, ended(s["path"], s["n"])).otherwise(state(*stepped(s["a"], s["b"], h), 2 * s["path"] + h, s["n"] + 1))
+
+        return let(_side(s["a"], s["b"], buffer), on)
+
+    def along(s: Column) -> Column:
+        """s: a and b in the cell of level n whose edge they reach; how many steps go on along it, and their path."""
+        up = down = F
+        for k in range(level):
+            far = s["n"] + k >= level
+            a, b = 1 - (1 - s["a"]) * 2.0**k, (s["b"] + 1) * 2.0**k - 1  # what follows the edge above, and below
+            up = up.when(far | ((s["b"] - 1) * 2.0**k + 1 > 1.0 + buffer) | ((a < 0) & (a <= -buffer)), k)
+            down = down.when(far | ((s["a"] + 1) * 2.0**k - 1 < -1.0 - buffer) | ((b > 0) & (b >= buffer)), k)
+        upper = let(up, lambda k: _path(_left(s["path"] + 1, k) - 1, s["n"] + k))
+        return F.when(s["b"] >= 1, upper).otherwise(let(down, lambda k: _path(_left(s["path"], k), s["n"] + k)))
+
+    def began(h: Column) -> Column:
+        a, b = stepped(low, high, h)
+        one = F.struct(h.cast("long").alias("h"), a.alias("a"), b.alias("b"))
+        whole = let(one, lambda s: F.when(s["a"] < s["b"], first(s)))
+        going = let(whole, lambda s: F.when(s["n"].isNull(), _walked(low, high, level, buffer)).when(s["a"].isNull(), _path(s["path"], s["n"])).otherwise(along(s)))
+        return F.when(h < 0, _path(F.lit(0), F.lit(0))).otherwise(going)
+
+    return let(_side(low, high, buffer), began)
+
+
 def _down(v: Column, level: int, buffer: float) -> Column:
-    def axis(low: Column, high: Column) -> Column:
-        def side(a: Column, b: Column) -> Column:
-            out = (a < -1.0 - buffer) | (b > 1.0 + buffer)
-            lower = (b <= 0) | ((b < buffer) & (F.abs(b) < F.abs(a)))
-            upper = (a >= 0) | ((a > -buffer) & (F.abs(b) >= F.abs(a)))
-            return F.when(out, -1).when(lower, 0).when(upper, 1).otherwise(-1)
-
-        def state(a: Column, b: Column, path: Column, n: Column) -> Column:
-            return F.struct(a.alias("a"), b.alias("b"), side(a, b).alias("h"), path.alias("path"), n.alias("n"))
-
-        def step(s: Column, _: Column) -> Column:
-            shift = F.lit(0.5) - s["h"]
-            return F.when(s["h"] < 0, s).otherwise(state(2 * (s["a"] + shift), 2 * (s["b"] + shift), 2 * s["path"] + s["h"], s["n"] + 1))
-
-        if not level:
-            return F.struct(F.lit(0).cast("long").alias("path"), F.lit(0).alias("n"))
-        return F.aggregate(F.sequence(F.lit(1), F.lit(level)), state(low, high, F.lit(0).cast("long"), F.lit(0)), step)
-
-    def key(pair: Column) -> Column:
-        x, y = pair["x"], pair["y"]
+    def key(x: Column, y: Column) -> Column:
         n = F.least(x["n"], y["n"])
         south = _left(F.lit(1).cast("long"), y["n"]) - 1 - y["path"]  # rows count from the north
         return from_xyz(_right(x["path"], x["n"] - n), _right(south, y["n"] - n), n)
 
-    return let(F.struct(axis(v["a"], v["b"]).alias("x"), axis(v["c"], v["d"]).alias("y")), key)
+    ends = F.array(*[F.struct(v[a].alias("a"), v[b].alias("b")) for a, b in ("ab", "cd")])
+    return let(F.transform(ends, lambda s: _axis(s["a"], s["b"], level, buffer)), lambda both: key(F.get(both, 0), F.get(both, 1)))
 
 
 def calculate_point(lon, lat, level: int = ELEMENT_LEVEL, buffer: float = BUFFER) -> Column:

@@ -60,6 +60,18 @@ def test_cells_of_boxes(spark, level):
     assert got == {k: walk(x, level) for k, x in enumerate(b)}
 
 
+def test_cells_take_no_steps_by_level(spark):
+    """Edges, middles and what sticks out of them, by 18 steps and without them. Only intervals without an order are walked."""
+    rng, ends = random.Random(3), [None, float("nan"), 1.06, 1.05, -1.05, 0.0, -0.0, 5e-324, -1e-17]
+    for k in range(30):
+        at = rng.randint(-(2**k), 2**k) / 2**k
+        ends += [at, at + 2e-12 * 7 ** rng.randint(0, 12), at - 2e-12 * 7 ** rng.randint(0, 12), rng.uniform(-1, 1)]
+    df = spark.createDataFrame([(a, b) for a in ends for b in (a, *rng.sample(ends, 40), *((a + d for d in (1e-9, 1e-5, 0.01, 0.3)) if a is not None else ()))], "a double, b double")
+    for level, buffer in ((18, 0.05), (20, 0.0), (1, 0.05), (2, 0.3)):
+        both = df.select("a", "b", q._axis(F.col("a"), F.col("b"), level, buffer).alias("x"), q._walked(F.col("a"), F.col("b"), level, buffer).alias("y"))
+        assert both.where("not (x <=> y)").collect() == []
+
+
 def cut(qt, n):
     return qt if (qt & 31) <= n else ((qt >> (63 - 2 * n)) << (63 - 2 * n)) + n if n else 0
 
