@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geostrata.functions import quadtree as q
+from geostrata.plans.scratch import written
 
 #: Rows of a table that may be broadcast; a larger one is joined by shuffles.
 BROADCAST_ROWS = 500_000
@@ -24,14 +25,17 @@ def tile_weights(qts: DataFrame, level: int = q.GROUP_LEVEL) -> DataFrame:
 
 
 def tile_totals(weights: DataFrame) -> DataFrame:
-    """A9. Each cell on the way up from a weighted one: its own weight and its subtree's.
-
-    A cell always has ancestors; explode_outer only spares the optimizer a filter on that, which it would carry through
-    the aggregate into the expressions of the cells."""
-    up = weights.select("weight", F.col("tile").alias("own"), F.explode_outer(q.ancestors("tile")).alias("tile"))
+    """A9. Each cell on the way up from a weighted one: its own weight and its subtree's."""
+    up = _upward(weights.select("weight", F.col("tile").alias("own")), "own")
     return up.groupBy("tile").agg(F.sum(F.when(F.col("own") == F.col("tile"), F.col("weight")).otherwise(0)).alias("weight"), F.sum("weight").alias("total"))
 
 
+def _upward(rows: DataFrame, cell: str) -> DataFrame:
+    """rows with tile: a row each for the cell and all its ancestors. Levels are a fixed list, so that the ancestors are compiled expressions and not arrays of their own."""
+    levels = rows.select("*", F.explode(F.array(*map(F.lit, range(q.MAX_DEPTH + 1)))).alias("_level"))
+    return levels.where(F.col("_level") <= q.depth(cell)).withColumn("tile", q.round_to(cell, "_level")).drop("_level")
+
+
 def pack_tiles(weights: DataFrame, target: int = 40_000, least: int | None = None) -> DataFrame:
     """I2. tile and weight: cells that together hold everything, of about target elements each.
 
@@ -102,21 +106,37 @@ def listing(packed: DataFrame) -> DataFrame:
 
 def read_tiles(rows: DataFrame, hits: DataFrame, most: int = 1000) -> DataFrame:
     """The rows of some tiles. A few are named in the filter, which reaches the files' row groups (they are clustered by tile); more meet by a join."""
+    hits = written(hits.select("tile"), "hit-tiles")  # met up to three times
     few = [r["tile"] for r in hits.limit(most + 1).collect()]
     return rows.where(F.col("tile").isin(few)) if len(few) <= most else rows.join(small(hits), "tile", "left_semi")
 
 
+def _by_level(rows: DataFrame, tiles: DataFrame, cell: str) -> DataFrame | None:
+    """rows with tile: the deepest tile that is the cell or an ancestor, else the root. The tiles are broadcast once, and rows meet them level by level from the deepest, where they are; None if there are too many to broadcast."""
+    named = tiles.select(F.col("tile").alias("_tile")).distinct()
+    sizes = dict(named.where("_tile > 0").groupBy(q.depth("_tile").alias("depth")).count().collect())
+    if sum(sizes.values()) > BROADCAST_ROWS:
+        return None
+    out = rows.withColumn("tile", F.lit(None).cast("long"))
+    for n in sorted(sizes, reverse=True):
+        up = F.when(F.col("tile").isNull() & (F.col(cell) >= 0) & (q.depth(cell) >= n), q.round_to(cell, n))
+        out = out.join(F.broadcast(named), up == F.col("_tile"), "left").withColumn("tile", F.coalesce("tile", "_tile")).drop("_tile")
+    return out.withColumn("tile", F.coalesce("tile", F.lit(0).cast("long")))
+
+
 def assign(cells: DataFrame, tiles: DataFrame, column: str = "quadtree") -> DataFrame:
     """J7. quadtree and tile: the deepest tile that is the cell or an ancestor, else the root, for each different cell."""
     one = cells.select(F.col(column).alias("quadtree")).where("quadtree >= 0").distinct()
-    up = one.select("quadtree", F.explode_outer(q.ancestors("quadtree")).alias("tile"))
-    hit = up.join(small(tiles.select("tile").distinct()), "tile", "left_semi").groupBy("quadtree").agg(F.max_by("tile", q.depth("tile")).alias("tile"))
+    found = _by_level(one, tiles, "quadtree")
+    if found is not None:
+        return found
+    hit = _upward(one, "quadtree").join(tiles.select("tile").distinct(), "tile", "left_semi").groupBy("quadtree").agg(F.max("tile").alias("tile"))  # the deepest is the highest
     return one.join(hit, "quadtree", "left").select("quadtree", F.coalesce("tile", F.lit(0).cast("long")).alias("tile"))
 
 
-def with_tiles(elements: DataFrame, tiles: DataFrame) -> DataFrame:
-    """elements(quadtree, ...) with their tiles; those without a cell (null or negative) are in the root."""
-    of = assign(elements, tiles).select(F.col("quadtree").alias("_cell"), "tile")
+def with_tiles(elements: DataFrame, tiles: DataFrame, cells: DataFrame | None = None) -> DataFrame:
+    """elements(quadtree, ...) with their tiles; those without a cell (null or negative) are in the root. cells: a table whose quadtree holds all of elements' but the root, if it is cheaper to read."""
+    of = assign(elements if cells is None else cells, tiles).select(F.col("quadtree").alias("_cell"), "tile")
     return elements.join(of, F.col("quadtree") == F.col("_cell"), "left").drop("_cell").withColumn("tile", F.coalesce("tile", F.lit(0).cast("long")))
 
 

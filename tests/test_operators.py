@@ -2,6 +2,7 @@
 
 import gzip
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -83,6 +84,33 @@ def test_tiles(spark):
     assert len(clustered) == 5
 
 
+def test_tiles_of_cells_by_broadcast_and_by_shuffle(spark, monkeypatch):
+    """Both ways against a plain look at the ancestors, and with one row a cell: no ancestors but those of a few tiles are listed."""
+    rng = random.Random(4)
+    cell = lambda n: (rng.getrandbits(2 * n) << 63 - 2 * n) + n if n else 0
+    up = lambda c, n: (c >> 63 - 2 * n << 63 - 2 * n) + n if n else 0
+    cells = [cell(rng.randint(0, 20)) for _ in range(300)] + [0, -1, -2, None]
+    named = {up(c, rng.randint(0, c & 31)) for c in cells[:200]} | {cell(2) for _ in range(5)}
+    e = spark.createDataFrame([(k, c) for k, c in enumerate(cells + cells)], "id long, quadtree long")
+    t = spark.createDataFrame([(c,) for c in sorted(named) * 2], "tile long")
+    best = lambda c: max((up(c, n) for n in range((c & 31) + 1) if up(c, n) in named), key=lambda x: x & 31, default=0) if c is not None and c >= 0 else 0
+    for most in (500_000, 0):
+        monkeypatch.setattr(tiles, "BROADCAST_ROWS", most)
+        assert sorted(map(tuple, tiles.assign(e, t).collect())) == sorted({(c, best(c)) for c in cells if c is not None and c >= 0})
+        assert {r["id"]: r["tile"] for r in tiles.with_tiles(e, t).collect()} == {k: best(c) for k, c in enumerate(cells + cells)}
+        assert tiles.with_tiles(e, t.limit(0)).where("tile <> 0").isEmpty()
+        assert ("Generate" in tiles.assign(e, t)._jdf.queryExecution().toString()) == (not most)
+    w = {c: n + 1 for n, c in enumerate(cells) if c is not None and c >= 0}
+    totals = {}
+    for c, n in w.items():
+        for k in range((c & 31) + 1):
+            own, all_of = totals.get(up(c, k), (0, 0))
+            totals[up(c, k)] = (own + n * (up(c, k) == c), all_of + n)
+    found = tiles.tile_totals(spark.createDataFrame(list(w.items()), "tile long, weight long"))
+    assert {r["tile"]: (r["weight"], r["total"]) for r in found.collect()} == totals
+    assert "lambdafunction" not in found._jdf.queryExecution().toString()
+
+
 def test_extracts_are_complete(spark):
     n = nodes(spark, (1, 0, 0), (2, 999, 999), (3, 5000, 5000))
     wn = way_nodes(spark, w1=[1, 3], w2=[3])
