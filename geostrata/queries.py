@@ -268,7 +268,7 @@ def tile_assign(spark, d):
 
 def _tiled(spark, d):
     cells = _known_cells(spark, d)
-    return tiles.with_tiles(build.attach(_elements(spark, d), cells), _tiles(spark, d, cells))
+    return tiles.with_tiles(build.attach(_elements(spark, d), cells), _tiles(spark, d, cells), cells)
 
 
 @query
@@ -441,7 +441,8 @@ def change_latest_ties(spark, d):
 
 
 def _change(spark, d, seq=1):
-    return update.latest(view(spark, d, "changes")).where(F.col("seq") == seq)
+    """One change file, written, as queries meet it several times."""
+    return written(update.latest(view(spark, d, "changes")).where(F.col("seq") == seq), "change")
 
 
 @query
@@ -465,7 +466,7 @@ def _log(spark, d):
     later = update.latest(view(spark, d, "changes")).select("elem_type", "id", "changetype", "seq")
     level = F.least(3 + F.col("seq").cast("int"), F.lit(q.ELEMENT_LEVEL))
     moved = later.join(base.select("elem_type", "id", "quadtree"), ["elem_type", "id"]).withColumn("quadtree", q.round_to("quadtree", level))
-    return base, moved.select("elem_type", "id", "quadtree", q.round_to("quadtree", 4).alias("tile"), "changetype", "seq")
+    return base, written(moved.select("elem_type", "id", "quadtree", q.round_to("quadtree", 4).alias("tile"), "changetype", "seq"), "moved")
 
 
 @query

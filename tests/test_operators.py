@@ -61,6 +61,16 @@ def test_nodes_of_changes_are_numbered_by_spans(spark, tmp_path, monkeypatch):
     assert "windowspecdefinition(n_id" not in plan and plan.count("windowspecdefinition(_span#") == 2  # of nodes, each span its own; of spans
 
 
+def test_what_queries_meet_several_times_is_written(spark, monkeypatch):
+    from geostrata import queries
+    from geostrata.plans.scratch import exists
+
+    monkeypatch.setattr(queries, "view", lambda spark, d, name: spark.createDataFrame([(1, 0, 5, 4, 7, 1)], "seq long, elem_type int, id long, changetype int, version long, pos long"))
+    monkeypatch.setattr(queries, "_known_cells", lambda spark, d: spark.createDataFrame([(0, 5, (3 << 61) + 1)], "elem_type int, id long, quadtree long"))
+    assert exists(queries._change(spark, "")) and all(map(exists, queries._log(spark, "")))
+    assert [tuple(r) for r in queries._log(spark, "")[1].collect()] == [(0, 5, (3 << 61) + 1, (3 << 61) + 1, 4, 1)]
+
+
 def test_attaching_reports_what_is_out_of_step(spark):
     e = spark.createDataFrame([(0, 1), (1, 2), (2, 3)], "elem_type int, id long")
     c = spark.createDataFrame([(0, 1, 5)], "elem_type int, id long, quadtree long")
@@ -98,6 +108,7 @@ def test_tiles_of_cells_by_broadcast_and_by_shuffle(spark, monkeypatch):
         monkeypatch.setattr(tiles, "BROADCAST_ROWS", most)
         assert sorted(map(tuple, tiles.assign(e, t).collect())) == sorted({(c, best(c)) for c in cells if c is not None and c >= 0})
         assert {r["id"]: r["tile"] for r in tiles.with_tiles(e, t).collect()} == {k: best(c) for k, c in enumerate(cells + cells)}
+        assert {r["id"]: r["tile"] for r in tiles.with_tiles(e, t, e.where("quadtree > 0")).collect()} == {k: best(c) for k, c in enumerate(cells + cells)}
         assert tiles.with_tiles(e, t.limit(0)).where("tile <> 0").isEmpty()
         assert ("Generate" in tiles.assign(e, t)._jdf.queryExecution().toString()) == (not most)
     w = {c: n + 1 for n, c in enumerate(cells) if c is not None and c >= 0}
